@@ -38,24 +38,31 @@ def is_root(p: Column) -> Column:
     return p.rlike(ROOT_PATTERN)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _resolve_dots(p: Column) -> Column:
-    parts = F.split(p, "/")
-    kept = F.aggregate(
-        F.slice(parts, F.lit(2), F.size(parts)),
-        F.array().cast("array<string>"),
-        lambda acc, part: F.when(part.isin("", "."), acc)
-        .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(part))),
-    )
-    return F.concat(F.get(parts, F.lit(0)), F.lit("/"), F.array_join(kept, "/"))
+    def walk(parts: Column) -> Column:
+        kept = F.aggregate(
+            F.slice(parts, F.lit(2), F.size(parts)),
+            F.array().cast("array<string>"),
+            lambda acc, part: F.when(part.isin("", "."), acc)
+            .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .otherwise(F.concat(acc, F.array(part))),
+        )
+        return F.concat(F.get(parts, F.lit(0)), F.lit("/"), F.array_join(kept, "/"))
+
+    return bind(F.split(p, "/"), walk)
 
 
 def norm_path(s: Column) -> Column:
     """Trimmed absolute path without trailing separator (roots keep theirs); else null."""
     p = F.regexp_replace(F.translate(strip(s), "\\", "/"), r"(?<!^)/{2,}", "/")
     p = F.when(p.rlike(r"/\.{1,2}(/|$)"), _resolve_dots(p)).otherwise(p)
-    p = F.when(is_root(p), p).otherwise(F.regexp_replace(p, r"(?<=.)/+$", ""))
-    return F.when(is_absolute(p), p)
+    p = F.regexp_replace(p, r"(?<!^)(?<!^[A-Za-z]:)/+$", "")
+    return F.when(is_absolute(strip(s)), p)
 
 
 def path_key(p: Column) -> Column:

@@ -222,28 +222,36 @@ def _term_keys(terms: Column, row: NameForms, allow_fuzzy: bool) -> Column:
     return F.transform(F.transform(terms, score), rules)
 
 
-def combine_terms(terms: Column, phrases: Column, row: NameForms) -> Column:
-    """All phrases and terms must match; worst tier, summed quality and length difference."""
-    keys = F.concat(_term_keys(phrases, row, False), _term_keys(terms, row, True))
-    return combine_keys(keys)
+def all_keys(terms: Column, phrases: Column, row: NameForms) -> Column:
+    """Keys of all phrases (never fuzzy) and terms, in that order; null entries did not match."""
+    return F.concat(_term_keys(phrases, row, False), _term_keys(terms, row, True))
+
+
+def all_matched(keys: Column) -> Column:
+    return (F.size(keys) > 0) & F.forall(keys, lambda k: k.isNotNull())
 
 
 def combine_keys(keys: Column) -> Column:
-    worst = F.array_min(
-        F.transform(
-            keys,
-            lambda k, i: F.struct(
-                (-k.tier).alias("a"), k.quality.alias("b"), i.alias("c"), k.reason.alias("reason")
-            ),
-        )
-    )
-    combined = F.struct(
-        F.array_max(F.transform(keys, lambda k: k.tier)).alias("tier"),
-        F.aggregate(keys, F.lit(0.0), lambda acc, k: acc + k.quality).alias("quality"),
-        F.aggregate(keys, F.lit(0), lambda acc, k: acc + k.length_diff).alias("length_diff"),
-        worst.reason.alias("reason"),
+    """Worst tier, summed quality and length difference, reason of the worst key.
+
+    Worst is the highest tier, then the lowest quality, then the first.
+    """
+    start = F.struct(
+        F.lit(-1).alias("tier"), F.lit(0.0).alias("quality"), F.lit(0).alias("length_diff"),
+        F.lit("none").alias("reason"), F.lit(0.0).alias("worst"),
     )
-    return F.when((F.size(keys) > 0) & F.forall(keys, lambda k: k.isNotNull()), combined)
+
+    def add(acc: Column, k: Column) -> Column:
+        worse = (k.tier > acc.tier) | ((k.tier == acc.tier) & (k.quality < acc.worst))
+        return F.struct(
+            F.greatest(acc.tier, k.tier).alias("tier"),
+            (acc.quality + k.quality).alias("quality"),
+            (acc.length_diff + k.length_diff).alias("length_diff"),
+            F.when(worse, k.reason).otherwise(acc.reason).alias("reason"),
+            F.when(worse, k.quality).otherwise(acc.worst).alias("worst"),
+        )
+
+    return F.aggregate(keys, start, add)
 
 
 def display_score(tier: Column, quality: Column) -> Column:

@@ -98,7 +98,8 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def geometric_mean(column: Column) -> Column:
-    return F.exp(F.avg(F.ln(F.greatest(column, F.lit(FLOOR)))))
+    # greatest() would turn a null into the floor
+    return F.exp(F.avg(F.when(column.isNotNull(), F.ln(F.greatest(column, F.lit(FLOOR))))))
 
 
 def speedup_by_slice(runs: DataFrame, baseline: str, candidate: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pathmere.functions import paths as P
 from pathmere.functions import scoring as S
 from pathmere.operators import filters as flt
+from pathmere.session import filter_once
 
 DEFAULT_LIMIT = 50
 PAGE_SIZE = 50
@@ -113,9 +114,10 @@ def matches(catalog: DataFrame, request: SearchRequest) -> DataFrame:
     if not request.has_text:
         return rows.withColumns(_filter_only_columns())
     strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
-    key = S.combine_terms(strings(request.terms), strings(request.phrases), S.NameForms.of_catalog())
+    keys = S.all_keys(strings(request.terms), strings(request.phrases), S.NameForms.of_catalog())
     named = S.with_match_columns(rows).where(may_match(request))
-    return _unpack_key(named.withColumn("_key", key).where("_key is not null"))
+    hits = filter_once(named, {"_keys": keys}, S.all_matched(F.col("_keys")))
+    return _unpack_key(hits.withColumn("_key", S.combine_keys(F.col("_keys"))))
 
 
 def _filter_only_columns() -> dict[str, Column]:
@@ -134,7 +136,7 @@ def _unpack_key(df: DataFrame) -> DataFrame:
             "score": S.display_score(F.col("_key.tier"), F.col("_key.quality")),
             "match_reason": F.col("_key.reason"),
         }
-    ).drop("_key", *S.MATCH_COLUMNS)
+    ).drop("_key", "_keys", *S.MATCH_COLUMNS)
 
 
 def with_tie_breakers(
@@ -316,13 +318,13 @@ def search_many(
         "_salt", F.pmod(F.xxhash64("path_key"), F.lit(salts)).cast("int")
     )
     rows = rows.withColumn("_key_char", F.explode(row_join_keys()))
-    pairs = rows.join(keyed, ["_key_char", "_salt"]).where(pair_filter())
+    pairs = rows.join(keyed, ["_key_char", "_salt"])
     has_text = F.size(F.concat("terms", "phrases")) > 0
-    key = F.when(
-        has_text, S.combine_terms(F.col("terms"), F.col("phrases"), S.NameForms.of_catalog())
-    )
-    scored = pairs.withColumn("_key", key).where(F.col("_key").isNotNull() | ~has_text)
-    scored = _unpack_key(scored).withColumns(
+    keys = S.all_keys(F.col("terms"), F.col("phrases"), S.NameForms.of_catalog())
+    fitting = filter_once(pairs, {"_fits": pair_filter()}, F.col("_fits")).drop("_fits")
+    hits = filter_once(fitting, {"_keys": keys}, ~has_text | S.all_matched(F.col("_keys")))
+    combined = hits.withColumn("_key", F.when(has_text, S.combine_keys(F.col("_keys"))))
+    scored = _unpack_key(combined).withColumns(
         {
             name: F.coalesce(name, default)
             for name, default in _filter_only_columns().items()

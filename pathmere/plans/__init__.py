@@ -1,6 +1,6 @@
 """Registered queries by topic."""
 
-from pathmere.plans import expressions, searching  # noqa: F401
+from pathmere.plans import expressions, maintenance, searching, summaries  # noqa: F401
 from pathmere.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

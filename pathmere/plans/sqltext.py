@@ -18,9 +18,11 @@ def fuzzy(q: str, c: str) -> str:
         f"'t': a.t + 8 + 2 * (a.s + 1) + case when x.before in {SEPARATORS} then 10 else 0 end, 'ch': '', 'before': ''}} "
         f"else {{'k': a.k, 's': 0, 't': a.t, 'ch': '', 'before': ''}} end, {start})"
     )
+    in_order = f"'%'||array_to_string(string_split({q}, ''), '%')||'%'"
     return (
         f"case when {q} = '' or {c} = '' then 0.0 when contains({c}, {q}) then 200.0 + length({q}) "
-        f"else (case when ({walk}).k = length({q}) then least(({walk}).t, 199.0) else 0.0 end) end"
+        f"when {c} not like {in_order} then 0.0 "
+        f"else list_transform([{walk}], lambda r: case when r.k = length({q}) then least(r.t, 199.0) else 0.0 end)[1] end"
     )
 
 

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pathmere.functions.alias import LETTER_GROUPS, TRANSLATE_FROM, TRANSLATE_TO
 from pathmere.functions.journal import REASON_BITS
 from pathmere.operators.aliases import with_alias_forms
-from pathmere.operators.catalog import CATALOG_COLUMNS, build_catalog, catalog_from, with_path_columns
+from pathmere.operators.catalog import (
+    CATALOG_COLUMNS, build_catalog, catalog_from, with_path_columns, write_catalog,
+)
 from pathmere.operators.search import SearchRequest, request_table
 from pathmere.operators.usage import roll_up
-from pathmere.session import use_utc
+from pathmere.session import scratch_path, use_utc
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -70,8 +72,21 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return doc_files.unionByName(part_files).unionByName(card_files).unionByName(page_files)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, label: str, build) -> DataFrame:
+    """Build a catalog once per session and data folder, then read the stored files."""
+    key = (spark.sparkContext.applicationId, sf, label)
+    if key not in _STORED:
+        path = scratch_path(spark, label)
+        write_catalog(build(), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key]).select(*CATALOG_COLUMNS)
+
+
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return build_catalog(files(spark, sf))
+    return stored(use_utc(spark), sf, "catalog", lambda: build_catalog(files(spark, sf)))
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,6 +98,10 @@ def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """A catalog whose names are document lines: long, accented, often repeated."""
+    return stored(use_utc(spark), sf, "lines", lambda: _line_records(spark, sf))
+
+
+def _line_records(spark: SparkSession, sf: str) -> DataFrame:
     lines = doc_lines(spark, sf)
     safe = F.trim(F.translate("name", "/\\", "  "))
     records = lines.where(safe != "").select(
@@ -99,7 +118,7 @@ def line_catalog(spark: SparkSession, sf: str) -> DataFrame:
 def opens(spark: SparkSession, sf: str) -> DataFrame:
     """Open events of customer cards."""
     events = table(spark, sf, "events").where(F.col("event_type").isin("view", "click", "purchase"))
-    cards = files(spark, sf).where(F.col("full_path").startswith("/customers/"))
+    cards = catalog(spark, sf).where(F.col("full_path").startswith("/customers/") & ~F.col("structural"))
     joined = events.join(cards, F.col("file_reference") == F.col("user_id") + 2_000_000)
     return joined.select("full_path", F.col("ts").cast("timestamp").alias("used_at"), "event_type", "event_id")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -44,3 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs keep a short plan and survive lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def filter_once(df: DataFrame, columns: dict[str, Column], condition: Column) -> DataFrame:
+    """Add costly columns, then keep rows by a condition on them.
+
+    The optimizer pushes a filter below a projection by copying the expressions into it, so a
+    costly column would be computed twice (and its inputs many times). A row marker, which is
+    not deterministic, in the same projection keeps each column a single evaluation.
+    """
+    marked = df.withColumns({**columns, "_marker": F.monotonically_increasing_id()})
+    return marked.where((F.col("_marker") >= 0) & condition).drop("_marker")

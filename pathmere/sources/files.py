@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from pathmere.functions import paths as P
 
@@ -84,13 +84,13 @@ def _decode(data: bytes | None) -> str | None:
         return data.decode("gbk", "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Text of a byte column: marks, UTF-16 guess, strict UTF-8, then GBK; null when binary."""
     return content.map(_decode)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_binary(content: pd.Series) -> pd.Series:
     return content.map(lambda data: None if data is None else _is_binary(data))
 

@@ -92,6 +92,13 @@ def latest_updates(spark: SparkSession, folder: str, keys: list[str]) -> DataFra
     return newest.select(*keys, "r.*")
 
 
+def last_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Result of the newest micro-batch (for jobs that rewrite their whole result)."""
+    log = spark.read.parquet(f"{folder}/updates")
+    newest = log.agg(F.max("batch_id").alias("batch_id"))
+    return log.join(newest, "batch_id", "left_semi").drop("batch_id")
+
+
 def apply_change_stream(
     changes: DataFrame, folder: str, record_filter: Column | None = None, generation: int = 0
 ) -> StreamingQuery:

@@ -154,12 +154,13 @@ def test_combined_terms(spark):
         "*", "name reading", "name initials", "'/x/y' full_path", "'/x' parent_path"
     )
     df, row = S.with_match_columns(df), S.NameForms.of_catalog()
-    got = df.select(S.combine_terms(F.array(F.lit("red"), F.lit("bolt")), F.array().cast("array<string>"), row).alias("k")).collect()
-    assert tuple(got[0].k) == (2, 7.0, 9, "name-substring")
+    none = F.array().cast("array<string>")
+    keyed = df.select(S.all_keys(F.array(F.lit("red"), F.lit("bolt")), none, row).alias("keys"))
+    got = keyed.select(F.when(S.all_matched(F.col("keys")), S.combine_keys(F.col("keys"))).alias("k")).collect()
+    assert tuple(got[0].k)[:4] == (2, 7.0, 9, "name-substring")
     assert got[1].k is None
     assert got[2].k.tier == 3 and got[2].k.reason == "name-fuzzy"
-    nothing = df.select(S.combine_terms(F.array().cast("array<string>"), F.array().cast("array<string>"), row).alias("k")).first()
-    assert nothing.k is None
+    assert df.select(S.all_matched(S.all_keys(none, none, row)).alias("k")).first().k is False
 
 
 def test_item_score(spark):
