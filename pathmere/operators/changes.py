@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathmere.functions import paths as P
 from pathmere.functions.journal import DELETE_MASK, REASON_BITS, UPSERT_MASK, has_any
 from pathmere.operators.filters import not_excluded
+from pathmere.session import cut_lineage
 
 RECORD = ["full_path", "is_directory", "size_bytes", "mtime"]
 OP_COLUMNS = ["usn", "seq", "op", "path_key", *RECORD, "file_reference", "volume", "subtree"]
@@ -160,6 +161,7 @@ def apply_operations(catalog: DataFrame, ops: DataFrame, generation: int = 0) ->
     combined on the map side. ``catalog`` has path_key, full_path, is_directory, size_bytes,
     mtime, file_reference and generation.
     """
+    ops = cut_lineage(ops)  # read in several places below, so compute the batch once
     pos = F.struct("usn", "seq")
     content = F.struct(*RECORD)
     has_ref = F.col("file_reference") > 0

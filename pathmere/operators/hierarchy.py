@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathmere.functions.paths import segment_ref, strip
+from pathmere.functions.paths import norm_path, path_key, segment_ref, strip
 from pathmere.session import cut_lineage
 
 
@@ -121,7 +121,7 @@ def with_parent_row(catalog: DataFrame) -> DataFrame:
 
 def children_of(catalog: DataFrame, folders: DataFrame) -> DataFrame:
     """Direct children of the given folders (column ``path``)."""
-    keys = folders.select(F.lower("path").alias("parent_key")).distinct()
+    keys = folders.select(path_key(norm_path(F.col("path"))).alias("parent_key")).distinct()
     return catalog.join(keys, "parent_key", "left_semi")
 
 

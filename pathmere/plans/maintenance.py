@@ -35,7 +35,7 @@ def resolved_paths(spark, sf):
 def resolved_broken_tree(spark, sf):
     """The tree with two-node cycles, their children and orphans mixed in: only the tree comes out."""
     nodes = V.nodes(spark, sf)
-    shift = F.lit(1_000_000_000)
+    shift = F.lit(1_000_000_000).cast("long")
     cycles = nodes.withColumns({"parent_id": c("id") + shift * 2, "id": c("id") + shift})
     back = nodes.withColumns({"parent_id": c("id") + shift, "id": c("id") + shift * 2})
     below = nodes.withColumns({"parent_id": c("id") + shift, "id": c("id") + shift * 3})
@@ -46,10 +46,11 @@ def resolved_broken_tree(spark, sf):
 
 
 @query(sql_with("""
-select c.path_key, p.full_path parent_full_path, p.file_reference parent_reference
+select c.path_key, p.full_path parent_full_path, coalesce(p.file_reference, -1) parent_reference
 from catalog c left join catalog p on c.parent_key = p.path_key"""))
 def row_with_parent(spark, sf):
-    return H.with_parent_row(V.catalog(spark, sf)).select("path_key", "parent_full_path", "parent_reference")
+    rows = H.with_parent_row(V.catalog(spark, sf))
+    return rows.select("path_key", "parent_full_path", F.coalesce("parent_reference", F.lit(-1)).alias("parent_reference"))
 
 
 @query(sql_with("select path_key from catalog where parent_key in (select path_key from pinned)"))
@@ -265,11 +266,11 @@ _BASE = """
 select '/u/'||(c_custkey % 10)||'/'||c_custkey||'-old.txt' path, cast(round(abs(c_acctbal) * 100) as bigint) sz, c_custkey + 1 ref from customer"""
 
 
-@query(sql_with("select usn, seq, op, path path_key, volume, case when op = 'upsert' then sz end size_bytes, ref file_reference from ops",
+@query(sql_with("select usn, seq, op, path path_key, volume, case when op = 'upsert' then sz else -1 end size_bytes, ref file_reference from ops",
                 ev=_EV, ops=_OPS))
 def lowered_changes(spark, sf):
     ops = C.lower_changes(V.changes(spark, sf))
-    size = F.when(c("op") == "upsert", c("size_bytes"))
+    size = F.when(c("op") == "upsert", c("size_bytes")).otherwise(-1)
     return ops.select("usn", "seq", "op", "path_key", "volume", size.alias("size_bytes"), "file_reference")
 
 
