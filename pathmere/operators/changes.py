@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathmere.functions import paths as P
@@ -241,7 +241,33 @@ def apply_operations(catalog: DataFrame, ops: DataFrame, generation: int = 0) ->
         .groupBy("path_key", F.col("file_reference").alias("b_ref"))
         .agg(F.count_distinct("usn").alias("live_n"))
     )
-    state = state.join(reset, "path_key", "left").join(listed, ["path_key", "b_ref"], "left")
+    # a path that changed its reference inside the batch: did a purge hit the one held at the time?
+    same_ref = F.col("r_min").isNull() | ((F.col("r_min") == F.col("b_ref")) & (F.col("r_max") == F.col("b_ref")))
+    unsure = state.where(in_base & F.col("u_pos").isNotNull() & F.col("d_pos").isNull() & ~same_ref).select(
+        "path_key", "b_ref", "volume", "u_pos"
+    )
+    held = unsure.select("path_key", F.col("b_ref").alias("_ref"), F.struct(F.lit(-1).cast("long").alias("usn"), F.lit(0).alias("seq")).alias("_from"))
+    held = held.where("_ref > 0").unionByName(
+        ops.where((F.col("op") == "upsert") & has_ref)
+        .join(unsure.select("path_key"), "path_key", "left_semi")
+        .select("path_key", F.col("file_reference").alias("_ref"), pos.alias("_from"))
+    )
+    until = F.lead("_from").over(Window.partitionBy("path_key").orderBy("_from"))
+    held = held.withColumn("_until", until).join(unsure.select("path_key", "volume", "u_pos"), "path_key")
+    removed = held.join(
+        purges,
+        (F.col("_ref") == F.col("p_ref"))
+        & ((F.col("p_volume") == "*") | (F.col("p_volume") == F.col("volume")))
+        & (F.col("p_pos") > F.col("_from"))
+        & (F.col("p_pos") < F.col("u_pos"))
+        & (F.col("_until").isNull() | (F.col("p_pos.usn") < F.col("_until.usn"))),
+        "left_semi",
+    ).select("path_key", F.lit(True).alias("was_removed")).distinct()
+    state = (
+        state.join(reset, "path_key", "left")
+        .join(listed, ["path_key", "b_ref"], "left")
+        .join(removed, "path_key", "left")
+    )
 
     was_reset = F.coalesce("was_reset", F.lit(False))
     newest = F.col("u_pos")
@@ -250,8 +276,10 @@ def apply_operations(catalog: DataFrame, ops: DataFrame, generation: int = 0) ->
     survivors = state.where(~(deleted | purged) & (in_base | newest.isNotNull()))
 
     purge_count = F.coalesce("q_own_n", F.lit(0)) + F.coalesce("q_any_n", F.lit(0))
-    again = F.col("d_pos").isNotNull() | was_reset | (purge_count > F.coalesce("live_n", F.lit(0)))
-    same_ref = F.col("r_min").isNull() | ((F.col("r_min") == F.col("b_ref")) & (F.col("r_max") == F.col("b_ref")))
+    purged_before = F.when(same_ref, purge_count > F.coalesce("live_n", F.lit(0))).otherwise(
+        F.coalesce("was_removed", F.lit(False))
+    )
+    again = F.col("d_pos").isNotNull() | was_reset | purged_before
     untouched = newest.isNull() | (
         (F.col("u_min") == F.col("b_rec")) & (F.col("u_max") == F.col("b_rec")) & same_ref
     )
