@@ -57,8 +57,16 @@ def _resolve_dots(p: Column) -> Column:
     return bind(F.split(p, "/"), walk)
 
 
+# already normal: absolute, no empty, dot or backslash part, no white space at the end
+NORMAL_PATH = r"(?U)^(?:[A-Za-z]:)?(?:/(?!\.{1,2}(?:/|$))[^/\\]+)+(?<!\s)$"
+
+
 def norm_path(s: Column) -> Column:
     """Trimmed absolute path without trailing separator (roots keep theirs); else null."""
+    return F.when(s.rlike(NORMAL_PATH), s).otherwise(_normalize(s))
+
+
+def _normalize(s: Column) -> Column:
     p = F.regexp_replace(F.translate(strip(s), "\\", "/"), r"(?<!^)/{2,}", "/")
     p = F.when(p.rlike(r"/\.{1,2}(/|$)"), _resolve_dots(p)).otherwise(p)
     p = F.regexp_replace(p, r"(?<!^)(?<!^[A-Za-z]:)/+$", "")

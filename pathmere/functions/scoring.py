@@ -261,7 +261,8 @@ def display_score(tier: Column, quality: Column) -> Column:
 def recency(last_used: Column, as_of: Column) -> Column:
     """20 minus fractional days since use, within 0..20; 0 when never used."""
     days = (F.unix_micros(as_of) - F.unix_micros(last_used)) / F.lit(86_400_000_000)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(20.0), 20 - days)), F.lit(0.0))
+    # greatest() and least() skip nulls, so "never used" needs its own branch
+    return F.when(days.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(20.0), 20 - days)))
 
 
 def item_score(name: Column, details: Column, aliases: Column, query: Column) -> Column:

@@ -85,12 +85,17 @@ def build_catalog(records: DataFrame, readings: DataFrame | None = None, mode: s
     return with_alias_forms(with_path_columns(best), readings, mode).select(*CATALOG_COLUMNS)
 
 
-def write_catalog(df: DataFrame, path: str) -> None:
-    """Store a catalog laid out for search: alias rows apart, files sorted by name."""
+def write_catalog(df: DataFrame, path: str, files: int | None = None) -> None:
+    """Store a catalog laid out for search: alias rows apart, files sorted by name.
+
+    ``files`` is the number of name ranges (default: the shuffle partitions of the session), so
+    that scans stay parallel; choose it for files of a few hundred megabytes.
+    """
+    ranges = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         df.withColumn("has_alias", F.col("search_text") != "")
         .withColumn("name_lower", F.lower("name"))
-        .repartitionByRange("has_alias", "name_lower", "path_key")
+        .repartitionByRange(ranges, "has_alias", "name_lower", "path_key")
         .sortWithinPartitions("name_lower", "path_key")
         .write.mode("errorifexists")
         .partitionBy("has_alias")

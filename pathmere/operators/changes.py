@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,10 +96,10 @@ def hard_link_changes(entries: DataFrame, live: DataFrame, root: str) -> DataFra
 
 # --- lowering and applying a batch -------------------------------------------------------
 
+LIVE_TYPE = "array<struct<full_path:string,is_directory:boolean,size_bytes:bigint,mtime:timestamp>>"
 CHANGE_SCHEMA = (
     "usn long, kind string, full_path string, old_full_path string, is_directory boolean, "
-    "size_bytes long, mtime timestamp, file_reference long, "
-    "live_records array<struct<full_path:string,is_directory:boolean,size_bytes:long,mtime:timestamp>>"
+    f"size_bytes long, mtime timestamp, file_reference long, live_records {LIVE_TYPE}"
 )
 
 
@@ -108,48 +108,47 @@ def needs_rescan(changes: DataFrame) -> DataFrame:
     return changes.where("kind = 'rescan'").select(F.lit(True).alias("rescan")).limit(1)
 
 
-def lower_changes(changes: DataFrame, record_filter: Column | None = None) -> DataFrame:
+def lower_changes(changes: DataFrame, record_filter: Callable[[Column], Column] | None = None) -> DataFrame:
     """Typed changes to operations: upsert, delete and purge, ordered by (usn, seq).
 
     A filtered upsert becomes a delete, a rename a delete and an upsert, a resync a purge of the
-    reference and an upsert per live record. One directory move empties the batch.
+    reference per volume and an upsert per live record. One directory move empties the batch.
+    ``record_filter`` maps a record struct to a boolean. Each change emits its operations from
+    one expression, so the batch is read once.
     """
-    ok = F.lit(True) if record_filter is None else record_filter
+    keep = record_filter or (lambda record: F.lit(True))
     blocked = needs_rescan(changes).select(F.lit(1).alias("_one"))
     calm = changes.withColumn("_one", F.lit(1)).join(blocked, "_one", "left_anti")
 
-    def ops(df: DataFrame, seq: int, op: Column | str, path: Column, volume: Column | None = None) -> DataFrame:
-        return df.select(
-            "usn", F.lit(seq).alias("seq"), (F.lit(op) if isinstance(op, str) else op).alias("op"),
-            P.path_key(path).alias("path_key"), path.alias("full_path"), "is_directory", "size_bytes", "mtime",
-            "file_reference", (F.lit(None).cast("string") if volume is None else volume).alias("volume"),
-            F.lit(False).alias("subtree"),
+    def op(seq: int, what: Column | str, record: Column | None, volume: Column | None = None) -> Column:
+        field = lambda name, kind: (F.lit(None) if record is None else record[name]).cast(kind).alias(name)
+        path = F.lit(None).cast("string") if record is None else P.path_key(record["full_path"])
+        return F.struct(
+            F.lit(seq).alias("seq"), (F.lit(what) if isinstance(what, str) else what).alias("op"), path.alias("path_key"),
+            field("full_path", "string"), field("is_directory", "boolean"), field("size_bytes", "long"), field("mtime", "timestamp"),
+            (F.lit(None).cast("string") if volume is None else volume).alias("volume"),
         )
 
-    path = F.col("full_path")
-    upserts = ops(calm.where("kind = 'upsert'"), 1, F.when(ok, "upsert").otherwise("delete"), path)
-    deletes = ops(calm.where("kind = 'delete'"), 2, "delete", path)
-    renames = calm.where("kind = 'rename'")
-    moved_from = ops(renames, 0, "delete", F.col("old_full_path"))
-    moved_to = ops(renames.where(ok), 1, "upsert", path)
-    resync = calm.where("kind = 'resync'").select("usn", "file_reference", F.explode_outer("live_records").alias("r"))
-    live = resync.select("usn", "file_reference", "r.*")
-    kept = live.where(path.isNotNull() & ok)
-    scoped = ops(kept, 0, "purge", F.lit(None).cast("string"), P.volume_of(path)).distinct()
+    own = F.struct(*RECORD)
+    old = F.struct(F.col("old_full_path").alias("full_path"), *RECORD[1:])
+    live = F.filter(F.coalesce("live_records", F.array().cast(LIVE_TYPE)), lambda r: r["full_path"].isNotNull() & keep(r))
     # a resync without any live record left purges the reference on every volume
-    empty = ops(
-        calm.where("kind = 'resync'")
-        .join(kept.select("usn", "file_reference").distinct(), ["usn", "file_reference"], "left_anti"),
-        0, "purge", F.lit(None).cast("string"), F.lit("*"),
+    volumes = F.when(F.size(live) == 0, F.array(F.lit("*"))).otherwise(
+        F.array_distinct(F.transform(live, lambda r: P.volume_of(r["full_path"])))
     )
-    purge = scoped.unionByName(empty).withColumns(
-        {c: F.lit(None).cast(t) for c, t in (("is_directory", "boolean"), ("size_bytes", "long"), ("mtime", "timestamp"))}
-    ).distinct()
-    relinked = ops(kept, 1, "upsert", path)
-    out = upserts
-    for part in (deletes, moved_from, moved_to, purge, relinked):
-        out = out.unionByName(part)
-    return out.select(*OP_COLUMNS)
+    kind = F.col("kind")
+    ops = (
+        F.when(kind == "upsert", F.array(op(1, F.when(keep(own), "upsert").otherwise("delete"), own)))
+        .when(kind == "delete", F.array(op(2, "delete", own)))
+        .when((kind == "rename") & keep(own), F.array(op(0, "delete", old), op(1, "upsert", own)))
+        .when(kind == "rename", F.array(op(0, "delete", old)))
+        .when(
+            kind == "resync",
+            F.concat(F.transform(volumes, lambda v: op(0, "purge", None, v)), F.transform(live, lambda r: op(1, "upsert", r))),
+        )
+    )
+    lowered = calm.select("usn", "file_reference", F.explode(ops).alias("o"))
+    return lowered.select("usn", "o.*", "file_reference", F.lit(False).alias("subtree")).select(*OP_COLUMNS)
 
 
 def apply_operations(catalog: DataFrame, ops: DataFrame, generation: int = 0) -> DataFrame:

@@ -277,6 +277,13 @@ def row_join_keys() -> Column:
     )
 
 
+KEY_BUCKETS = 1024
+
+
+def _key_bucket(key: Column) -> Column:
+    return F.pmod(F.hash(key), F.lit(KEY_BUCKETS))
+
+
 def pair_filter() -> Column:
     """Request conditions over a joined (row, request) pair."""
     name_low = F.lower("name")
@@ -311,13 +318,15 @@ def search_many(
     per salt. The per-request top-k is cut inside each partition before the shuffle.
     """
     as_of = F.lit("1970-01-01").cast("timestamp") if as_of is None else as_of
-    keyed = request_join_key(requests).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    keyed = request_join_key(requests)
+    # which key buckets any request uses: at most KEY_BUCKETS small numbers, whatever the table size
+    wanted = keyed.agg(F.collect_set(_key_bucket(F.col("_key_char"))).alias("wanted")).scalar()
+    keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = S.with_match_columns(catalog).withColumn(
         "_salt", F.pmod(F.xxhash64("path_key"), F.lit(salts)).cast("int")
     )
-    rows = rows.withColumn("_key_char", F.explode(row_join_keys()))
+    useful = F.filter(row_join_keys(), lambda k: F.array_contains(F.col("_wanted"), _key_bucket(k)))
+    rows = rows.withColumn("_wanted", wanted).withColumn("_key_char", F.explode(useful)).drop("_wanted")
     pairs = rows.join(keyed, ["_key_char", "_salt"])
     has_text = F.size(F.concat("terms", "phrases")) > 0
     keys = S.all_keys(F.col("terms"), F.col("phrases"), S.NameForms.of_catalog())

@@ -11,8 +11,8 @@ from pathmere.plans.registry import query
 from pathmere.plans.views import ALIAS_REQUESTS, REQUESTS, sql_with
 
 c = F.col
-SHOWN = ["rank", "path_key", "tier", "quality", "length_diff", "score", "match_reason", "is_app", "open_count", "is_pinned"]
-SHOWN_SQL = "rnk as rank, path_key, tier, quality, length_diff, score, match_reason, is_app, open_count, is_pinned"
+SHOWN = ["rank", "path_key", "tier", "quality", "length_diff", "score", "match_reason", "is_app", "open_count", "is_pinned", "recency"]
+SHOWN_SQL = "rnk as rank, path_key, tier, quality, length_diff, score, match_reason, is_app, open_count, is_pinned, recency"
 
 
 def _searched(spark, sf, request, **kw):

@@ -19,7 +19,8 @@ c = F.col
 
 @query(sql_with("select path_key, full_path, open_count, epoch_us(last_used_at) last_used_us from usage"))
 def usage_roll_up(spark, sf):
-    return V.usage(spark, sf).select("path_key", "full_path", "open_count", F.unix_micros("last_used_at").alias("last_used_us"))
+    found = usage.roll_up(V.opens(spark, sf))
+    return found.select("path_key", "full_path", "open_count", F.unix_micros("last_used_at").alias("last_used_us"))
 
 
 _BY_TYPE = "select lower(full_path) path_key, full_path, event_type, count(*) open_count, max(used_at) last_used_at from opens group by 1, 2, 3"
@@ -228,13 +229,13 @@ _HTML = f"regexp_replace(replace({_HTML}, chr(13)||chr(10), chr(10)), '[ \\t]*\\
 
 @query(f"select page_id, trim({_HTML}, ' '||chr(9)||chr(10)||chr(13)) as text from pages")
 def page_text(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", html_to_text(c("html")).alias("text"))
+    return V.spread(V.table(spark, sf, "pages")).select("page_id", html_to_text(c("html")).alias("text"))
 
 
 @query()
 def document_markdown_text(spark, sf):
     """Every document read as Markdown; the look-around rules have no SQL counterpart."""
-    return V.table(spark, sf, "documents").select("doc_id", markdown_to_text(c("text")).alias("text"))
+    return V.spread(V.table(spark, sf, "documents")).select("doc_id", markdown_to_text(c("text")).alias("text"))
 
 
 @query("""

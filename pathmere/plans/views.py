@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly text work on tables of few files; a no-op for large tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _after(start: str, amount, unit: str):
     return F.timestamp_add(unit, amount, F.lit(start).cast("timestamp"))
 
@@ -75,30 +81,31 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf: str, label: str, build) -> DataFrame:
-    """Build a catalog once per session and data folder, then read the stored files."""
+def stored(spark: SparkSession, sf: str, label: str, build, write=write_catalog) -> DataFrame:
+    """Build a table once per session and data folder, then read the stored files."""
     key = (spark.sparkContext.applicationId, sf, label)
     if key not in _STORED:
         path = scratch_path(spark, label)
-        write_catalog(build(), path)
+        write(build(), path)
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key]).select(*CATALOG_COLUMNS)
+    return spark.read.parquet(_STORED[key])
 
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(use_utc(spark), sf, "catalog", lambda: build_catalog(files(spark, sf)))
+    rows = stored(use_utc(spark), sf, "catalog", lambda: build_catalog(files(spark, sf)))
+    return rows.select(*CATALOG_COLUMNS)
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document as a name."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "name"))
     return lines.where(F.trim("name") != "")
 
 
 def line_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """A catalog whose names are document lines: long, accented, often repeated."""
-    return stored(use_utc(spark), sf, "lines", lambda: _line_records(spark, sf))
+    return stored(use_utc(spark), sf, "lines", lambda: _line_records(spark, sf)).select(*CATALOG_COLUMNS)
 
 
 def _line_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,7 +131,9 @@ def opens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf: str) -> DataFrame:
-    return roll_up(opens(spark, sf))
+    """The stored usage table."""
+    plain = lambda df, path: df.write.parquet(path)
+    return stored(use_utc(spark), sf, "usage", lambda: roll_up(opens(spark, sf)), plain)
 
 
 PINNED = ["/docs/fr", "/parts/PROMO/", "/customers/ASIA", "/missing"]

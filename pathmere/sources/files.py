@@ -15,10 +15,15 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 from pathmere.functions import paths as P
 
 
-def plain_path(uri: Column) -> Column:
-    """File URI to a decoded plain path (other schemes keep their URI)."""
-    local = F.replace(F.regexp_replace(uri, r"^file:/+", "/"), F.lit("+"), F.lit("%2B"))
-    return F.when(uri.startswith("file:"), F.coalesce(F.try_url_decode(local), local)).otherwise(uri)
+def plain_path(path: Column) -> Column:
+    """Local paths without their ``file:`` scheme; other schemes keep it."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
+def plain_uri(uri: Column) -> Column:
+    """Same for escaped file URIs, such as the metadata column of a scan."""
+    decoded = F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return plain_path(F.coalesce(decoded, uri))
 
 
 def read_listing(spark: SparkSession, *roots: str) -> DataFrame:
@@ -157,7 +162,7 @@ def describe_parquet(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataF
     visit(df.schema, "", 0)
     schema = spark.createDataFrame(nodes, "position int, name string, type string, depth int, nullable boolean")
     counts = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("row_count"))
-    return schema, counts.withColumn("file_path", plain_path(F.col("file_path")))
+    return schema, counts.withColumn("file_path", plain_uri(F.col("file_path")))
 
 
 def file_name(path: Column) -> Column:

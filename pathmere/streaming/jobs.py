@@ -6,6 +6,8 @@ watermark; only metric windows and superseded requests do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -100,7 +102,7 @@ def last_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def apply_change_stream(
-    changes: DataFrame, folder: str, record_filter: Column | None = None, generation: int = 0
+    changes: DataFrame, folder: str, record_filter: Callable[[Column], Column] | None = None, generation: int = 0
 ) -> StreamingQuery:
     """Apply typed changes micro-batch by micro-batch to the catalog generations in ``folder``.
 

@@ -122,7 +122,7 @@ def test_lowering(spark):
         (5, "resync", None, None, None, None, None, 8, live),
         (6, "resync", None, None, None, None, None, 9, [("/v/tmp", False, 1, AT)]),
     )
-    ok = F.col("full_path") != "/v/tmp"
+    ok = lambda record: record["full_path"] != "/v/tmp"
     got = sorted((r.usn, r.seq, r.op, r.path_key, r.volume) for r in C.lower_changes(rows, ok).collect())
     assert got == [
         (1, 1, "upsert", "/v/keep", None), (2, 1, "delete", "/v/tmp", None),

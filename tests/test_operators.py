@@ -87,9 +87,9 @@ def test_batch_search_equals_single_search(spark):
     )]
     cat = make_catalog(spark, *paths).cache()
     requests = {
-        1: R.SearchRequest(terms=["part"]), 2: R.SearchRequest(terms=["pt"]), 3: R.SearchRequest(terms=["redbox/pa"]),
+        1: R.SearchRequest(terms=["part"]), 2: R.SearchRequest(terms=["pt"]), 3: R.SearchRequest(terms=["redbox/part"]),
         4: R.SearchRequest(include_ext=["tar.gz"], limit=5), 5: R.SearchRequest(phrases=["part-1"], exclude_ext=["gz"]),
-        6: R.SearchRequest(terms=["a b"]), 7: R.SearchRequest(path_terms=["blue_bin"]), 8: R.SearchRequest(terms=["part", "txt"], excluded_terms=["red"]),
+        6: R.SearchRequest(terms=["a b-4.txt"]), 7: R.SearchRequest(path_terms=["blue_bin"]), 8: R.SearchRequest(terms=["part", "txt"], excluded_terms=["red"]),
     }
     batch = R.search_many(cat, R.request_table(spark, requests)).collect()
     for qid, request in requests.items():
