@@ -266,22 +266,16 @@ def row_join_keys() -> Column:
         F.when(F.col("_has_alias"), F.lower(F.concat_ws(" ", "reading", "initials"))),
     )
     tag = lambda text, mark: F.transform(
-        chars_without_blanks(text), lambda ch: F.concat(F.lit(mark), ch)
+        F.array_distinct(F.split(text, "")), lambda ch: F.concat(F.lit(mark), ch)
     )
-    return F.array_distinct(
-        F.concat(
-            tag(name_text, "n:"),
-            tag(F.col("path_key"), "p:"),
-            F.array(F.concat(F.lit("x:"), F.col("ext")), F.lit("*")),
-        )
+    return F.concat(
+        tag(name_text, "n:"),
+        tag(F.col("path_key"), "p:"),
+        F.array(F.concat(F.lit("x:"), F.col("ext")), F.lit("*")),
     )
 
 
-KEY_BUCKETS = 1024
-
-
-def _key_bucket(key: Column) -> Column:
-    return F.pmod(F.hash(key), F.lit(KEY_BUCKETS))
+MAX_PRUNING_KEYS = 1024
 
 
 def pair_filter() -> Column:
@@ -319,14 +313,15 @@ def search_many(
     """
     as_of = F.lit("1970-01-01").cast("timestamp") if as_of is None else as_of
     keyed = request_join_key(requests)
-    # which key buckets any request uses: at most KEY_BUCKETS small numbers, whatever the table size
-    wanted = keyed.agg(F.collect_set(_key_bucket(F.col("_key_char"))).alias("wanted")).scalar()
+    # the keys any request uses, or null (no pruning) when there are more than a bounded number
+    used = keyed.select("_key_char").distinct().limit(MAX_PRUNING_KEYS + 1).agg(F.collect_set("_key_char").alias("k"))
+    wanted = used.select(F.when(F.size("k") <= MAX_PRUNING_KEYS, F.col("k"))).scalar()
     keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = S.with_match_columns(catalog).withColumn(
         "_salt", F.pmod(F.xxhash64("path_key"), F.lit(salts)).cast("int")
     )
-    useful = F.filter(row_join_keys(), lambda k: F.array_contains(F.col("_wanted"), _key_bucket(k)))
-    rows = rows.withColumn("_wanted", wanted).withColumn("_key_char", F.explode(useful)).drop("_wanted")
+    useful = F.coalesce(F.array_intersect(F.col("_all"), wanted), F.col("_all"))
+    rows = rows.withColumn("_all", row_join_keys()).withColumn("_key_char", F.explode(useful)).drop("_all")
     pairs = rows.join(keyed, ["_key_char", "_salt"])
     has_text = F.size(F.concat("terms", "phrases")) > 0
     keys = S.all_keys(F.col("terms"), F.col("phrases"), S.NameForms.of_catalog())
