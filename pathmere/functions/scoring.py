@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathmere.functions.paths import (
-    chars, components, decoded_name, is_application, looks_percent_encoded, strip,
+    bind, chars, components, decoded_name, is_application, looks_percent_encoded, strip,
 )
 
 SEPARATORS = [" ", "-", "_", ".", "\\", "/"]
@@ -24,7 +24,7 @@ def clean(s: Column) -> Column:
 
 
 def fuzzy_score(query: Column, candidate: Column) -> Column:
-    return _fuzzy(clean(query), clean(candidate))
+    return bind(clean(query), lambda q: bind(clean(candidate), lambda c: _fuzzy(q, c)))
 
 
 def _fuzzy(q: Column, c: Column) -> Column:
@@ -37,19 +37,20 @@ def _fuzzy(q: Column, c: Column) -> Column:
         F.lit(0).alias("pos"), F.lit(0).alias("streak"), F.lit(0.0).alias("score")
     )
 
-    def step(state: Column, ch: Column) -> Column:
-        at = F.position(ch, c, state.pos + 1)
+    lost = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("streak"), F.lit(0.0).alias("score"))
+
+    def hit(state: Column, at: Column) -> Column:
         streak = F.when(at == state.pos + 1, state.streak + 1).otherwise(1)
         at_word_start = (at == 1) | F.substring(c, at - 1, F.lit(1)).isin(SEPARATORS)
         gain = 8 + 2 * streak + F.when(at_word_start, 10).otherwise(0)
-        return F.when(
-            (state.pos >= 0) & (at > 0),
-            F.struct(
-                at.alias("pos"),
-                streak.alias("streak"),
-                (state.score + gain).cast("double").alias("score"),
-            ),
-        ).otherwise(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("streak"), F.lit(0.0).alias("score")))
+        advanced = F.struct(
+            at.alias("pos"), streak.alias("streak"), (state.score + gain).cast("double").alias("score")
+        )
+        return F.when(at > 0, advanced).otherwise(lost)
+
+    def step(state: Column, ch: Column) -> Column:
+        ahead = bind(F.position(ch, c, state.pos + 1), lambda at: hit(state, at))
+        return F.when(state.pos >= 0, ahead).otherwise(state)
 
     fragmented = F.aggregate(
         chars(q), start, step,
@@ -93,32 +94,37 @@ def component_match(component: Column, segment: Column) -> Column:
 
 def path_match(path: Column, expression: Column) -> Column:
     """Segments of the expression match path components in order (or as a bounded snippet)."""
-    segments = components(expression)
-    parts = components(path)
+    return bind(components(expression), lambda segments: _segments_match(path, expression, segments))
+
+
+def _segments_match(path: Column, expression: Column, segments: Column) -> Column:
     low = F.translate(clean(path), "\\", "/")
     snippet = F.trim(F.translate(clean(expression), "\\", "/"), F.lit("/"))
     bounded = F.contains(
         F.concat(F.lit("/"), F.ltrim(low, F.lit("/")), F.lit("/")),
         F.concat(F.lit("/"), snippet, F.lit("/")),
     )
-    reached = F.aggregate(
-        parts,
-        F.lit(0),
-        lambda i, part: F.when(
-            component_match(part, F.coalesce(F.get(segments, i), F.lit("/"))), i + 1
-        ).otherwise(i),
-    )
+
+    def advance(i: Column, part: Column) -> Column:
+        wanted = F.coalesce(F.get(segments, i), F.lit("/"))
+        return F.when(component_match(part, wanted), i + 1).otherwise(i)
+
+    first = lambda part: component_match(part, F.get(segments, F.lit(0)))
     return (
         F.when(F.size(segments) == 0, F.lit(False))
-        .when(F.size(segments) == 1, F.exists(parts, lambda part: component_match(part, F.get(segments, F.lit(0)))))
-        .otherwise(bounded | (reached == F.size(segments)))
+        .when(F.size(segments) == 1, F.exists(components(path), first))
+        .otherwise(bounded | (F.aggregate(components(path), F.lit(0), advance) == F.size(segments)))
     )
 
 
 def path_score(path: Column, expression: Column) -> Column:
-    segments = components(expression)
-    total = F.aggregate(segments, F.lit(0), lambda acc, s: acc + F.length(s) + 2)
-    return F.when(path_match(path, expression), total).otherwise(0)
+    """Length of all segments plus two for each, 0 without a match."""
+
+    def score(segments: Column) -> Column:
+        total = F.aggregate(segments, F.lit(0), lambda acc, s: acc + F.length(s) + 2)
+        return F.when(_segments_match(path, expression, segments), total).otherwise(0)
+
+    return bind(components(expression), score)
 
 
 @dataclass(frozen=True)

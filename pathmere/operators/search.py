@@ -95,12 +95,12 @@ def may_match(request: SearchRequest) -> Column:
     cond = F.lit(True)
     for text, fuzzy in [(p, False) for p in request.phrases] + [(t, True) for t in request.terms]:
         letters = S.subsequence_pattern(text)
-        part = F.col("_leaf") == text
         if fuzzy:
             aliases = F.lower("reading").rlike(letters) | F.lower("initials").rlike(letters)
-            part = part | F.col("_name").rlike(letters) | (F.col("_has_alias") & aliases)
+            part = F.col("_name").rlike(letters) | (F.col("_has_alias") & aliases)
         else:
-            part = part | F.col("_name").contains(text)
+            part = F.col("_name").contains(text)
+        part = part | (F.col("name").contains("%") & (F.col("_leaf") == text))
         if "/" in text or "\\" in text:
             pieces = [x.strip() for x in text.replace("\\", "/").split("/") if x.strip()]
             part = part | flt.contains_all(pieces)

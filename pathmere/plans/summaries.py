@@ -197,14 +197,14 @@ def merged_candidates(spark, sf):
 
 
 @query(sql_with("""
-select folder path_key, false leads, row_number() over (order by is_foreground desc, seq) pos from merged_candidates""", merged_candidates=_MERGED_CANDIDATES))
+select folder path_key, is_foreground, false leads from merged_candidates
+union all select folder, false, source = 'shell' from merged_candidates""", merged_candidates=_MERGED_CANDIDATES))
 def ordered_candidates(spark, sf):
-    from pyspark.sql import Window
-
-    ordered = items.order_candidates(items.merge_candidates(V.candidates(spark, sf)), "shell")
-    # one row per folder of a session: a short list
-    position = F.row_number().over(Window.orderBy(c("is_foreground").desc(), c("leads").desc(), "seq"))
-    return ordered.select("path_key", "leads", position.alias("pos"))
+    """The list with and without a foreground row: only without one the last source leads."""
+    merged = items.merge_candidates(V.candidates(spark, sf))
+    calm = merged.withColumn("is_foreground", F.lit(False))
+    shown = ["path_key", "is_foreground", "leads"]
+    return items.order_candidates(merged, "shell").select(*shown).unionByName(items.order_candidates(calm, "shell").select(*shown))
 
 
 @query(sql_with("select seq from candidates where source = 'shell'"))
@@ -239,11 +239,10 @@ def document_markdown_text(spark, sf):
 
 
 @query("""
-select conv_id, row_number() over (partition by conv_id order by turn) message_no, role||'@example.org' "from", 'day '||turn date,
-  'turn '||turn||' of '||conv_id subject from conversations""")
+select conv_id||'-'||turn box, 1 message_no, role||'@example.org' "from", 'day '||turn date, 'turn '||turn||' of '||conv_id subject from conversations
+union all select conv_id||'-'||turn, 2, '', '', 'seen '||turn from conversations""")
 def mailbox_messages(spark, sf):
-    found = mailbox_headers(V.conversations_mbox(spark, sf), "conv_id")
-    return found
+    return mailbox_headers(V.turn_mailboxes(spark, sf), "box")
 
 
 @query("""
@@ -304,27 +303,26 @@ def parquet_row_counts(spark, sf):
 
 
 @query("""
-select conv_id, 'turn-'||turn||'.txt' entry_name, octet_length(encode(text)) entry_size from conversations""")
+select conv_id||'-'||turn box, 'text.txt' entry_name, octet_length(encode(text)) entry_size from conversations
+union all select conv_id||'-'||turn, 'meta/role.txt', octet_length(encode(role)) from conversations""")
 def archive_contents(spark, sf):
-    """Conversations packed into archives by Spark, then listed entry by entry."""
+    """Conversation turns packed into archives by Spark, then listed entry by entry."""
     import io
     import zipfile
 
     import pandas as pd
 
     @F.pandas_udf("binary")
-    def pack(names: pd.Series, texts: pd.Series) -> pd.Series:
+    def pack(texts: pd.Series, roles: pd.Series) -> pd.Series:
         packed = []
-        for entry_names, bodies in zip(names, texts):
+        for text, role in zip(texts, roles):
             data = io.BytesIO()
             with zipfile.ZipFile(data, "w") as archive:
-                for name, body in zip(entry_names, bodies):
-                    archive.writestr(name, body)
+                archive.writestr("text.txt", text)
+                archive.writestr("meta/role.txt", role)
             packed.append(data.getvalue())
         return pd.Series(packed)
 
-    turn = F.struct(F.concat(F.lit("turn-"), "turn", F.lit(".txt")).alias("name"), "text")
-    # the turns of one conversation are few by nature
-    grouped = V.table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(turn).alias("t"))
-    archives = grouped.select("conv_id", pack(c("t.name"), c("t.text")).alias("content"))
-    return files.archive_entries(archives, "conv_id").select("conv_id", "entry_name", "entry_size")
+    box = F.concat_ws("-", c("conv_id").cast("string"), c("turn").cast("string")).alias("box")
+    archives = V.table(spark, sf, "conversations").select(box, pack("text", "role").alias("content"))
+    return files.archive_entries(archives, "box").select("box", "entry_name", "entry_size")

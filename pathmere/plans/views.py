@@ -364,17 +364,15 @@ def roots(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in ROOTS], "path string")
 
 
-def conversations_mbox(spark: SparkSession, sf: str) -> DataFrame:
-    """Every conversation as one mailbox text with a message per turn."""
-    turns = table(spark, sf, "conversations")
-    message = F.concat(
-        F.lit("From turn@"), "role", F.lit(" now\nFrom: "), "role", F.lit("@example.org\nX-Pad: a\nDate: day "),
-        F.col("turn").cast("string"), F.lit("\nSubject: turn "), F.col("turn").cast("string"),
-        F.lit("\n of "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.regexp_replace("text", "(?m)^From ", ">From "), F.lit("\n"),
+def turn_mailboxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation turn as a mailbox text of two messages: the turn and a notice about it."""
+    turn, conv = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    text = F.concat(
+        F.lit("From turn@"), "role", F.lit(" now\nFrom: "), "role", F.lit("@example.org\nX-Pad: a\nDate: day "), turn,
+        F.lit("\nSubject: turn "), turn, F.lit("\n of "), conv, F.lit("\n\n"), F.regexp_replace("text", "(?m)^From ", ">From "),
+        F.lit("\nFrom notice now\nSubject: seen "), turn, F.lit("\n\nend\n"),
     )
-    # the turns of one conversation are few by nature
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))).alias("ms"))
-    return grouped.select("conv_id", F.array_join(F.col("ms.m"), "").alias("text"))
+    return table(spark, sf, "conversations").select(F.concat(conv, F.lit("-"), turn).alias("box"), text.alias("text"))
 
 
 # --- the same views in SQL ---------------------------------------------------------------
