@@ -197,7 +197,7 @@ def merged_candidates(spark, sf):
 
 
 @query(sql_with("""
-select folder path_key, is_foreground, false leads from merged_candidates
+select folder path_key, is_foreground, source = 'shell' and not (select bool_or(is_foreground) from merged_candidates) leads from merged_candidates
 union all select folder, false, source = 'shell' from merged_candidates""", merged_candidates=_MERGED_CANDIDATES))
 def ordered_candidates(spark, sf):
     """The list with and without a foreground row: only without one the last source leads."""
