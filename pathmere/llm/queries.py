@@ -4,30 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmere.llm import exact, simhash
+from pathmere.llm import exact, mixing, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of at most 2048 tokens."""
+    return packing.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the component of each under links of at most two bits."""
     found = simhash.near_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a classifier fitted on the labels of rows that are not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.train(docs, labels, remainder != 0)
+    scored = docs.select("doc_id", (remainder == 0).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document, by equality after deleting ASCII white space."""
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the corpus has, drawn to the target weights in at most three epochs."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing.source_levels(), mixing.corpus_tree(), max_epochs=3)
+    level = lambda i, name: F.get("leaf", F.lit(i)).alias(name)
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), level(0, "domain"), level(1, "lang"), level(2, "source"), "epoch", "n_tokens", "take_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
