@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmere.llm import exact, fingerprints, mixing, packing, pii, simhash, substring, toxicity
+from pathmere.llm import exact, fingerprints, mixing, packing, pii, simhash, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs: the longest host rule, else the classifier."""
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    found = url_filter.judged(_table(spark, sf_dir, "pages").select("page_id", "url"), model)
+    return found.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edits, with likeness to the edit and to the next document."""
     return fingerprints.against_edits(_table(spark, sf_dir, "documents"))
@@ -68,6 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_fingerprints": op2_fingerprints,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
