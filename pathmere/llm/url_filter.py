@@ -29,6 +29,7 @@ UNWANTED = (
     "casino", "casino-win", "poker-room", "slots-jackpot", "free-bets", "sports-betting", "lotto-bonus", "cheap-pills", "pharma-pills", "viagra-shop", "cialis-online",
     "weight-loss-pills", "adult-x", "adult-video", "xxx-tube", "porn-hub", "sex-cams", "hot-singles", "ads-track", "ad-server", "click-ads", "banner-ads", "tracker-pixel",
     "spam-farm", "link-farm", "seo-spam", "replica-watches", "payday-loan", "crypto-doubler", "free-gift-cards", "win-prizes", "warez-crack", "keygen-serial", "torrent-warez",
+    "bet-now", "bets-live", "gambling", "pills-now", "adult", "ads", "spam", "xxx", "casino-bets", "spam-ads",
 )
 WANTED = (
     "library", "museum", "weather", "recipes", "gardening", "university", "science", "history", "city-news", "daily-press", "sportsclub", "football", "music-school", "theatre",
@@ -37,6 +38,7 @@ WANTED = (
     "anderson", "national-park", "reading-room", "heritage", "ontario", "estate", "interest", "orchestra", "hearth", "thornton", "winton", "archives", "courses", "weekend-hikes",
     "islands", "graffiti", "houses", "themes", "methods", "legends", "friends", "spaghetti", "dynasties", "the-times", "northern", "athletics", "mathematics", "worthing",
     "others", "whether", "together", "anthology", "this-and-that", "roadside", "understanding", "ancient-lands", "handbooks", "tides", "stories", "authors", "month-in-review",
+    "kitchen", "energy", "green-valley", "pathfinder", "film-editing", "alphabet", "better-health", "tabletop", "addresses", "loads", "roads", "spartan",
 )
 _HOSTS = ("http://www.{}.example.com/", "https://{}.example.org/", "https://blog.{}.example.net/", "http://m.{}.example.com/", "https://{}.com/")
 _PATHS = ("en/{}", "de/{}/", "fr/{}.html", "es/{}", "")
