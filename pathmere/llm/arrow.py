@@ -7,6 +7,7 @@ are hashed without a Python loop. A mixing step removes the algebraic structure.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -29,8 +30,20 @@ _TABLES = tuple(np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uin
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
+#: Bytes of an Arrow batch that a Python worker is sent.
+BATCH_BYTES = 8 << 20
+
+
+def tidy() -> None:
+    """Give freed memory back, so that reused workers do not keep their peak."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed (tests, local runs)."""
+    """Let Python workers import this package where it is not installed (tests, local runs), in batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH")) if x)
@@ -38,7 +51,14 @@ def ship(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(batches):
+            yield out
+            del out
+            tidy()
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathmere.llm.arrow import by_ranges, map_arrow, raw, ship, shingles, slices, word_hashes
+from pathmere.llm.arrow import by_ranges, map_arrow, raw, ship, shingles, slices, tidy, word_hashes
 
 K, SHINGLE = 128, 5
 
@@ -111,6 +111,7 @@ def against_edits(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame
     guests = guests.groupBy("part").agg(F.min("guest").alias("guest"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy()
         left = left.take(pa.compute.sort_indices(left, sort_keys=[("_key", "descending"), ("text", "ascending")]))
         texts, guest = left["text"].to_pylist(), right["guest"][0].as_py() if right.num_rows else ""
         following = [*texts[1:], guest]

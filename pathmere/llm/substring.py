@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathmere.llm.arrow import by_ranges, mix, raw, ship, slices, windows, word_hashes
+from pathmere.llm.arrow import by_ranges, mix, raw, ship, slices, tidy, windows, word_hashes
 
 WINDOW, ROWS = 20, 2
 #: Cells or windows that a block gathers, on average; bytes of text in a part.
@@ -119,6 +119,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, b
     low = bits - block_bits
 
     def sketch(table: pa.Table) -> pa.Table:
+        tidy()
         part, out = table["_part"][0].as_py(), []
         h = Part(table, window, 1).hashes[0]
         for row in range(ROWS):
@@ -129,6 +130,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, b
 
     def merge(table: pa.Table) -> pa.Table:
         """Of the cells that each part has sent, those that two parts have."""
+        tidy()
         block = table["block"][0].as_py()
         sent = [_unpacked(x) for x in table["payload"].to_pylist()]
         seen = np.zeros(1 << low, np.uint8)
@@ -137,6 +139,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, b
         return _batch(_ANSWER[0], [(p, block, _bits(seen[c] > 1)) for p, c in zip(table["part"].to_pylist(), sent)], _ANSWER[1])
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy()
         if not left.num_rows:
             return _batch(_MESSAGE[0], [], _MESSAGE[1])
         part, own = left["_part"][0].as_py(), Part(left, window, 2)
@@ -167,6 +170,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, b
         return _batch(_ANSWER[0], [(p, block, _bits(again[cut[i] : cut[i + 1]])) for i, p in enumerate(table["part"].to_pylist())], _ANSWER[1])
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy()
         out: list[tuple] = []
         if left.num_rows:
             own = Part(left, window, 2)
