@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pathmere.llm.graph import stored
 
 #: Rows of one hash bucket of a leaf, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Nested {name: (weight, children)}; leaves have no children.
 Tree = dict[str, tuple[float, dict]]
 
