@@ -96,7 +96,7 @@ def write_catalog(df: DataFrame, path: str, files: int | None = None) -> None:
         df.withColumn("has_alias", F.col("search_text") != "")
         .withColumn("name_lower", F.lower("name"))
         .repartitionByRange(ranges, "has_alias", "name_lower", "path_key")
-        .sortWithinPartitions("name_lower", "path_key")
+        .sortWithinPartitions("has_alias", "name_lower", "path_key")
         .write.mode("errorifexists")
         .partitionBy("has_alias")
         .parquet(path)

@@ -415,13 +415,14 @@ def pending_action(last_delete: Column, last_deep: Column, last_refresh: Column)
     return F.when(deep_wins, "refresh_recursive").when(refreshed, "refresh").otherwise("delete")
 
 
-def coalesce_hints(hints: DataFrame, keys: Sequence[str] = ("full_path",)) -> DataFrame:
-    """Pending action per path; three maxima replace the ordered fold, so no path is buffered."""
+def coalesce_hints(hints: DataFrame) -> DataFrame:
+    """Pending action per path, ignoring case and named as last seen; three maxima replace the ordered fold, so no path is buffered."""
     latest = lambda effect: F.max(F.when(F.col("effect") == effect, F.col("seq")))
-    folded = hint_effects(hints).groupBy(*keys).agg(
-        latest("delete").alias("d"), latest("deep").alias("r"), latest("refresh").alias("c"), F.count("*").alias("hints")
+    keyed = hint_effects(hints).withColumn("_key", P.path_key(F.col("full_path")))
+    folded = keyed.groupBy("_key").agg(
+        F.max_by("full_path", F.struct("seq", "full_path")).alias("full_path"), latest("delete").alias("d"), latest("deep").alias("r"), latest("refresh").alias("c"), F.count("*").alias("hints")
     )
-    return folded.withColumn("action", pending_action(F.col("d"), F.col("r"), F.col("c"))).drop("d", "r", "c")
+    return folded.withColumn("action", pending_action(F.col("d"), F.col("r"), F.col("c"))).drop("_key", "d", "r", "c")
 
 
 def verify_deletes(pending: DataFrame, listing: DataFrame, unknown: DataFrame | None = None) -> DataFrame:

@@ -132,7 +132,7 @@ def is_valid_row() -> Column:
     ok = (
         P.is_absolute(P.strip(path))
         & (F.col("size_bytes") >= 0)
-        & (F.substring_index(P.strip(path), "/", -1) != ".")
+        & (F.substring_index(F.replace(P.strip(path), F.lit("\\"), F.lit("/")), "/", -1) != ".")
     )
     return F.coalesce(ok, F.lit(False))
 

@@ -9,7 +9,7 @@ from pathmere.functions.paths import norm_path, path_key
 from pathmere.functions.scoring import item_score
 
 
-def search_items(items: DataFrame, query: str, limit: int = 100) -> DataFrame:
+def search_items(items: DataFrame, query: str, limit: int) -> DataFrame:
     """Best items by score, then name; id is the final key."""
     score = item_score(F.col("name"), F.col("details"), F.col("aliases"), F.lit(query))
     return (

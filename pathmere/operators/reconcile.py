@@ -26,6 +26,8 @@ def upsert_merge(current: DataFrame, incoming: DataFrame, fields: Sequence[str]
     Unchanged rows keep everything. A changed or new row takes the incoming fields; an incoming
     generation or reference of 0 keeps the stored one. Both sides hold one row per path key.
     """
+    if "search_text" in current.columns and "search_text" in incoming.columns:  # another alias mode is a change
+        fields = [*fields, *({"search_text"} - {*fields})]
     joined = current.alias("o").join(
         incoming.alias("i"), F.col("o.path_key") == F.col("i.path_key"), "full"
     )
@@ -123,7 +125,7 @@ def diff_summary(diff: DataFrame) -> DataFrame:
     )
 
 
-def diff_samples(diff: DataFrame, n: int = 12) -> DataFrame:
+def diff_samples(diff: DataFrame, n: int) -> DataFrame:
     """First differing keys in key order, for a report."""
     return diff.where("status <> 'unchanged'").orderBy("path_key").limit(n)
 

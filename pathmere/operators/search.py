@@ -20,8 +20,6 @@ from pathmere.session import filter_once
 
 DEFAULT_LIMIT = 50
 PAGE_SIZE = 50
-MAX_LIMIT = 500
-RECENT_LIMIT = 12
 
 REQUEST_SCHEMA = (
     "query_id long, terms array<string>, phrases array<string>, path_terms array<string>, "
@@ -37,7 +35,7 @@ def _lower(values: Sequence[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class SearchRequest:
-    """One request. Text lists are lower-cased; the limit is held within 1..500."""
+    """One request. Text lists are lower-cased; ``limit`` is the only cut of its result."""
 
     terms: Sequence[str] = ()
     phrases: Sequence[str] = ()
@@ -59,7 +57,6 @@ class SearchRequest:
             object.__setattr__(self, name, _lower(getattr(self, name)))
         for name in ("include_ext", "exclude_ext", "required_ext"):
             object.__setattr__(self, name, [v.lstrip(".") for v in _lower(getattr(self, name))])
-        object.__setattr__(self, "limit", min(self.limit, MAX_LIMIT))
 
     @property
     def has_text(self) -> bool:
@@ -200,17 +197,24 @@ def search(
     first_rank: int = 1,
 ) -> DataFrame:
     """Best ``limit`` rows in rank order, numbered by ``rank`` (from ``first_rank`` on: paging)."""
-    as_of = F.lit("1970-01-01").cast("timestamp") if as_of is None else as_of
+    as_of = _as_of(usage, as_of)
     ready = with_tie_breakers(
         matches(catalog, request), F.lit(request.has_text), F.lit(request.preferred_root).cast("string"),
         usage, pinned, as_of,
     )
     top = ready.orderBy(*rank_order()).limit(request.limit)
-    # at most 500 rows reach this window
+    # only ``limit`` rows reach this window
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())))
     return ranked.where(F.col("rank") >= first_rank)
 
 
+def _as_of(usage: DataFrame | None, as_of: Column | None) -> Column:
+    """The time recency is counted from; it must be given with usage."""
+    if usage is not None and as_of is None:
+        raise ValueError("as_of is required with usage")
+    return F.lit(None).cast("timestamp") if as_of is None else as_of
+
+
 def page(results: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
     """Page ``number`` (from 1) of ranked results."""
     return results.where(F.col("rank").between((number - 1) * size + 1, number * size))
@@ -218,8 +222,8 @@ def page(results: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
 
 # --- a table of requests ---------------------------------------------------------------
 
-# Letters from common to rare; any other character counts as rarest.
-LETTERS_BY_FREQUENCY = "etaoinsrhldcumfpgwybvkxjqz"
+# Signs, digits and letters of names from common to rare; any other character counts as rarest.
+LETTERS_BY_FREQUENCY = "-_. 1023456789etaoinsrhldcumfpgwybvkxjqz"
 
 
 def _rarest_char(text: Column) -> Column:
@@ -259,23 +263,31 @@ def request_join_key(requests: DataFrame) -> DataFrame:
 
 def row_join_keys() -> Column:
     """All keys a catalog row can be reached by."""
-    name_text = F.concat_ws(
-        " ",
-        F.col("_name"),
-        F.when(F.col("_leaf") != F.col("_name"), F.col("_leaf")),
-        F.when(F.col("_has_alias"), F.lower(F.concat_ws(" ", "reading", "initials"))),
-    )
     tag = lambda text, mark: F.transform(
         F.array_distinct(F.split(text, "")), lambda ch: F.concat(F.lit(mark), ch)
     )
     return F.concat(
-        tag(name_text, "n:"),
+        tag(name_text(), "n:"),
         tag(F.col("path_key"), "p:"),
         F.array(F.concat(F.lit("x:"), F.col("ext")), F.lit("*")),
     )
 
 
-MAX_PRUNING_KEYS = 1024
+def letter_mask(text: Column) -> Column:
+    """64 bits, one for each class of characters that occur: a row misses a request whose bits it lacks."""
+    bit = lambda ch: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(ch), F.lit(64)).cast("int"))
+    letters = F.array_distinct(F.filter(F.split(text, ""), lambda ch: P.strip(ch) != ""))
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda mask, ch: mask.bitwiseOR(bit(ch)))
+
+
+def name_text() -> Column:
+    """All forms of a row's name that a text may match."""
+    return F.concat_ws(
+        " ",
+        F.col("_name"),
+        F.when(F.col("_leaf") != F.col("_name"), F.col("_leaf")),
+        F.when(F.col("_has_alias"), F.lower(F.concat_ws(" ", "reading", "initials"))),
+    )
 
 
 def pair_filter() -> Column:
@@ -303,26 +315,24 @@ def search_many(
     usage: DataFrame | None = None,
     pinned: DataFrame | None = None,
     as_of: Column | None = None,
-    salts: int = 8,
 ) -> DataFrame:
     """Top rows of every request in one pass over the catalog.
 
-    Rows meet only requests that share a join key, never all of them. A common key may hold a
-    third of the catalog, so the catalog side is salted and the (small) request side repeated
-    per salt. The per-request top-k is cut inside each partition before the shuffle.
+    Rows meet only requests that share a join key, and of these only the ones all of whose
+    letters they hold (a bit mask in the join condition). A common key is split by adaptive
+    execution. The per-request top-k is cut inside each partition before the shuffle.
     """
-    as_of = F.lit("1970-01-01").cast("timestamp") if as_of is None else as_of
-    keyed = request_join_key(requests)
-    # the keys any request uses, or null (no pruning) when there are more than a bounded number
-    used = keyed.select("_key_char").distinct().limit(MAX_PRUNING_KEYS + 1).agg(F.collect_set("_key_char").alias("k"))
-    wanted = used.select(F.when(F.size("k") <= MAX_PRUNING_KEYS, F.col("k"))).scalar()
-    keyed = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = S.with_match_columns(catalog).withColumn(
-        "_salt", F.pmod(F.xxhash64("path_key"), F.lit(salts)).cast("int")
-    )
-    useful = F.coalesce(F.array_intersect(F.col("_all"), wanted), F.col("_all"))
-    rows = rows.withColumn("_all", row_join_keys()).withColumn("_key_char", F.explode(useful)).drop("_all")
-    pairs = rows.join(keyed, ["_key_char", "_salt"])
+    as_of = _as_of(usage, as_of)
+    lists = ("terms", "phrases", "path_terms", "include_ext", "exclude_ext", "excluded_terms", "required_ext")
+    requests = requests.withColumns({name: F.transform(name, F.lower) for name in lists})
+    plain = F.filter(F.concat("phrases", "terms"), lambda t: ~t.rlike(r"[\\/]"))
+    keyed = request_join_key(requests).withColumn("_needs", letter_mask(F.array_join(plain, "")))
+    # the keys that any request uses: single characters and extensions
+    wanted = keyed.agg(F.collect_set("_key_char").alias("k")).select("k").scalar()
+    rows = S.with_match_columns(catalog).withColumn("_has", letter_mask(name_text()))
+    rows = rows.withColumn("_key_char", F.explode(F.array_intersect(row_join_keys(), wanted)))
+    rows, keyed = rows.alias("r"), keyed.alias("q")
+    pairs = rows.join(keyed, (F.col("r._key_char") == F.col("q._key_char")) & (F.col("_has").bitwiseAND(F.col("_needs")) == F.col("_needs"))).drop("_key_char", "_has", "_needs")
     has_text = F.size(F.concat("terms", "phrases")) > 0
     keys = S.all_keys(F.col("terms"), F.col("phrases"), S.NameForms.of_catalog())
     fitting = filter_once(pairs, {"_fits": pair_filter()}, F.col("_fits")).drop("_fits")
@@ -338,7 +348,6 @@ def search_many(
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*rank_order()))
     return (
         ready.withColumn("rank", rank)
-        .where(F.col("rank") <= MAX_LIMIT)
         .where(F.col("rank") <= F.col("limit"))
         .select("query_id", *RESULT_COLUMNS)
     )
@@ -353,7 +362,7 @@ RESULT_COLUMNS = [
 
 # --- result lists ----------------------------------------------------------------------
 
-def recents(usage: DataFrame, catalog: DataFrame, limit: int = RECENT_LIMIT) -> DataFrame:
+def recents(usage: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
     """Last used rows still in the catalog: latest first, then most opened, then path."""
     order = [F.col("last_used_at").desc(), F.col("open_count").desc(), F.col("path_key").asc()]
     used = usage.select("path_key", "open_count", "last_used_at")
@@ -367,7 +376,7 @@ def recents(usage: DataFrame, catalog: DataFrame, limit: int = RECENT_LIMIT) ->
 
 
 def first_seen(*sources: DataFrame, key: str = "path_key") -> DataFrame:
-    """Concatenate ranked lists and keep the first row per key; ``position`` orders the result."""
+    """Concatenate ranked lists and keep the first row per key; ``source_no`` and ``rank`` order the result."""
     shared = [c for c in sources[0].columns if all(c in s.columns for s in sources)]
     tagged = [
         s.select(*shared).withColumn("source_no", F.lit(i)) for i, s in enumerate(sources)
@@ -395,10 +404,10 @@ def pinned_first(pinned_rows: DataFrame, results: DataFrame, request: SearchRequ
 
 
 def without_query(
-    pinned_rows: DataFrame, usage: DataFrame, catalog: DataFrame, quick_filter: Column
+    pinned_rows: DataFrame, usage: DataFrame, catalog: DataFrame, quick_filter: Column, limit: int
 ) -> DataFrame:
     """Result list before any text is typed: pinned rows, then recents passing the quick filter."""
-    return first_seen(pinned_rows, recents(usage, catalog).where(quick_filter))
+    return first_seen(pinned_rows, recents(usage, catalog, limit).where(quick_filter))
 
 
 def keyword_targets(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -421,10 +430,6 @@ def same_results(left: DataFrame, right: DataFrame, by: Sequence[str] = ("rank",
 
 # --- match lanes -----------------------------------------------------------------------
 
-def candidate_cap(limit: int) -> int:
-    return min(max(20 * limit, 200), 5000)
-
-
 def lanes(catalog: DataFrame, request: SearchRequest, token: str | None = None) -> dict[str, DataFrame]:
     """Rows per match lane, cheapest lane first; every lane filter is pushed to its own scan."""
     text = " ".join([*request.phrases, *request.terms])
@@ -459,17 +464,10 @@ def prefix_lane(catalog: DataFrame, token: str, limit: int) -> DataFrame:
     )
 
 
-def lane_candidates(
-    catalog: DataFrame, request: SearchRequest, cap: int | None = None, token: str | None = None
-) -> DataFrame:
-    """Union of the match lanes, one row per path with its first lane.
-
-    ``cap`` asks for a preview of at most so many rows per lane (a top-k report). Ranked
-    search never reads this list, so the cap cannot hide a result from it.
-    """
+def lane_candidates(catalog: DataFrame, request: SearchRequest, token: str | None = None) -> DataFrame:
+    """Union of the match lanes, one row per path with its first lane."""
     parts = []
     for number, (lane, rows) in enumerate(lanes(catalog, request, token).items()):
-        rows = rows if cap is None else rows.orderBy(*lane_order()).limit(cap)
         parts.append(rows.select("path_key", "full_path", "name", F.lit(number).alias("lane_no"), F.lit(lane).alias("lane")))
     union = parts[0]
     for part in parts[1:]:

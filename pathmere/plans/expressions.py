@@ -270,7 +270,7 @@ select full_path, true valid from files union all select substr(full_path, 2), f
 union all select full_path||'/.', false from files union all select '  ', false from files"""))
 def filter_valid_rows(spark, sf):
     good = V.files(spark, sf).select("full_path", "size_bytes")
-    relative = good.withColumn("full_path", F.substring("full_path", 2, 100_000))
+    relative = good.withColumn("full_path", F.expr("substring(full_path, 2)"))
     dot = good.withColumn("full_path", F.concat("full_path", F.lit("/.")))
     blank = good.withColumn("full_path", F.lit("  "))
     ok, rejected = flt.split_valid(good.unionByName(relative).unionByName(dot).unionByName(blank))
@@ -283,10 +283,14 @@ def filter_journal_range(spark, sf):
 
 
 @query(sql_with("""
-select root_key from roots r where not exists (
-  select 1 from roots o where o.root_key <> r.root_key and starts_with(r.root_key, o.root_key||'/'))"""))
+select root_key from all_roots r where not exists (
+  select 1 from all_roots o where o.root_key <> r.root_key and starts_with(r.root_key, o.root_key||'/'))""", all_roots="""
+select root_key from roots union select distinct lower(parent_path) from catalog where starts_with(path_key, '/docs/') or starts_with(path_key, '/customers/')"""))
 def top_level_roots(spark, sf):
-    return top_roots(V.roots(spark, sf)).select("root_key")
+    """Given roots and all folders of two trees, without those below another."""
+    inside = c("path_key").startswith("/docs/") | c("path_key").startswith("/customers/")
+    folders = V.catalog(spark, sf).where(inside).select(c("parent_key").alias("path")).distinct()
+    return top_roots(V.roots(spark, sf).select("path").unionByName(folders)).select("root_key")
 
 
 @query(sql_with("""

@@ -171,7 +171,7 @@ def snapshot_diff_summary(spark, sf):
 
 @query(sql_with("select path_key, status from diff where status <> 'unchanged' order by path_key limit 12", diff=_DIFF))
 def snapshot_diff_samples(spark, sf):
-    return M.diff_samples(_diff(spark, sf)).select("path_key", "status")
+    return M.diff_samples(_diff(spark, sf), 12).select("path_key", "status")
 
 
 def _staged(spark, sf, folder="/orders"):

@@ -183,7 +183,7 @@ def catalog_with_usage(spark, sf):
 select row_number() over (order by last_used_at desc, open_count desc, c.path_key) as rank, c.path_key, 1.0 score, 'recent' match_reason
 from usage join catalog c using (path_key) qualify rank <= 12"""))
 def recent_rows(spark, sf):
-    return R.recents(V.usage(spark, sf), V.catalog(spark, sf)).select("rank", "path_key", "score", "match_reason")
+    return R.recents(V.usage(spark, sf), V.catalog(spark, sf), 12).select("rank", "path_key", "score", "match_reason")
 
 
 @query(sql_with("select path_key, exists (select 1 from pinned p where p.path_key = c.path_key) pinned from catalog c"))
@@ -243,19 +243,6 @@ def match_lanes(spark, sf):
 _LANE_ORDER = "length(name), lower(name), name, length(full_path), full_path"
 
 
-@query(sql_with(f"""
-select path_key, min(lane_no) lane_no from (
-  select * from (select path_key, 0 lane_no from catalog where lower(name) like 'e%' order by {_LANE_ORDER} limit 1000)
-  union all select * from (select path_key, 1 from catalog where search_text <> '' and contains(search_text, 'e') order by {_LANE_ORDER} limit 1000)
-  union all select * from (select path_key, 2 from catalog where contains(lower(name), 'e') or contains(search_text, 'e') order by {_LANE_ORDER} limit 1000)
-  union all select * from (select path_key, 3 from catalog where contains(lower(name), 'e') or contains(search_text, 'e') order by {_LANE_ORDER} limit 1000)
-) group by path_key"""))
-def lane_preview(spark, sf):
-    """Top rows of every lane (a report; ranked search does not use it)."""
-    request = R.SearchRequest(terms=["e"], limit=50)
-    return R.lane_candidates(V.catalog(spark, sf), request, R.candidate_cap(50)).select("path_key", "lane_no")
-
-
 @query(sql_with(f"""
 select path_key, lane_class, row_number() over (order by lane_class, {_LANE_ORDER}) pos from (
   select *, case when lower(name) = 'en' then 0 else 1 end lane_class from catalog where lower(name) like 'en%') qualify pos <= 200"""))
@@ -291,7 +278,7 @@ select path_key, arg_min(source_no, source_no) source_no, arg_min(rnk, source_no
     from usage join catalog c using (path_key) qualify rnk <= 12)) group by path_key"""))
 def list_without_query(spark, sf):
     rows = _pinned_rows(spark, sf).withColumn("is_directory", F.lit(True))
-    merged = R.without_query(rows, V.usage(spark, sf), V.catalog(spark, sf), flt.type_preset("files"))
+    merged = R.without_query(rows, V.usage(spark, sf), V.catalog(spark, sf), flt.type_preset("files"), 12)
     return merged.select("path_key", "source_no", "rank")
 
 

@@ -176,7 +176,7 @@ def item_scores(spark, sf):
 select id, list_max(list_transform(case when len(aliases) > 0 then aliases else [name] end, lambda a: {_item_sql('a', 'n1')}))::double score
 from items where score is not null order by score desc, lower(name), id limit 100"""))
 def item_search(spark, sf):
-    return items.search_items(V.items(spark, sf), "n1").select("id", "score")
+    return items.search_items(V.items(spark, sf), "n1", 100).select("id", "score")
 
 
 @query(sql_with("""
@@ -216,15 +216,16 @@ def fallback_source(spark, sf):
 
 # --- text jobs --------------------------------------------------------------------------------
 
-_TAGS = "address|article|aside|blockquote|br|div|footer|h[1-6]|header|hr|li|main|p|pre|section|table|tr"
+# The page texts in SQL: hidden elements one by one, then each kind of tag, then the references the pages use.
 _HTML = "html"
-for _tag in ("script", "style", "noscript"):
+for _tag in ("noscript", "script", "style"):
     _HTML = f"regexp_replace({_HTML}, '<{_tag}\\b[^>]*>.*?</{_tag}>', '', 'gis')"
-_HTML = f"regexp_replace({_HTML}, '</?({_TAGS})\\b[^>]*>', chr(10), 'gi')"
+for _tag in "address article aside blockquote br div footer h[1-6] header hr li main p pre section table tr".split():
+    _HTML = f"regexp_replace({_HTML}, '</?{_tag}(\\s[^>]*|/)?>', chr(10), 'gi')"
 _HTML = f"regexp_replace({_HTML}, '<[^>]+>', '', 'g')"
-for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
-_HTML = f"regexp_replace(replace({_HTML}, chr(13)||chr(10), chr(10)), '[ \\t]*\\n(?:[ \\t]*\\n){{2,}}', chr(10)||chr(10), 'g')"
+for _entity, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    _HTML = f"replace({_HTML}, '&{_entity};', '{_char}')"
+_HTML = f"regexp_replace(replace({_HTML}, chr(13)||chr(10), chr(10)), '([ \\t]*\\n){{3,}}', chr(10)||chr(10), 'g')"
 
 
 @query(f"select page_id, trim({_HTML}, ' '||chr(9)||chr(10)||chr(13)) as text from pages")
@@ -232,10 +233,18 @@ def page_text(spark, sf):
     return V.spread(V.table(spark, sf, "pages")).select("page_id", html_to_text(c("html")).alias("text"))
 
 
-@query()
+@query("""
+select doc_id, 'Doc '||doc_id||chr(10)||chr(10)||lang||' '||source||' link '||n_chars||' a_b_c'||chr(10)||chr(10)
+  ||trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))||chr(10)||'pic '||doc_id||' & <ok>' as text
+from documents""")
 def document_markdown_text(spark, sf):
-    """Every document read as Markdown; the look-around rules have no SQL counterpart."""
-    return V.spread(V.table(spark, sf, "documents")).select("doc_id", markdown_to_text(c("text")).alias("text"))
+    """Every document set in Markdown: heading, quote, emphasis, link, fence, image, code and references around its words."""
+    words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    md = F.concat(
+        F.lit("# Doc "), "doc_id", F.lit("\n\n> **"), "lang", F.lit("** _"), "source", F.lit("_ [link "), "n_chars", F.lit("](http://x/(y)/"), "doc_id",
+        F.lit(" 'title') `a_b_c`\n\n```text info\n"), words, F.lit("\n```\n![pic "), "doc_id", F.lit("](a.png) &amp; &lt;ok&gt;"),
+    )
+    return V.spread(V.table(spark, sf, "documents")).select("doc_id", markdown_to_text(md).alias("text"))
 
 
 @query("""
@@ -300,29 +309,3 @@ def parquet_row_counts(spark, sf):
         part = counts.select(files.file_name(c("file_path")).alias("file"), "row_count")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-@query("""
-select conv_id||'-'||turn box, 'text.txt' entry_name, octet_length(encode(text)) entry_size from conversations
-union all select conv_id||'-'||turn, 'meta/role.txt', octet_length(encode(role)) from conversations""")
-def archive_contents(spark, sf):
-    """Conversation turns packed into archives by Spark, then listed entry by entry."""
-    import io
-    import zipfile
-
-    import pandas as pd
-
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series, roles: pd.Series) -> pd.Series:
-        packed = []
-        for text, role in zip(texts, roles):
-            data = io.BytesIO()
-            with zipfile.ZipFile(data, "w") as archive:
-                archive.writestr("text.txt", text)
-                archive.writestr("meta/role.txt", role)
-            packed.append(data.getvalue())
-        return pd.Series(packed)
-
-    box = F.concat_ws("-", c("conv_id").cast("string"), c("turn").cast("string")).alias("box")
-    archives = V.table(spark, sf, "conversations").select(box, pack("text", "role").alias("content"))
-    return files.archive_entries(archives, "box").select("box", "entry_name", "entry_size")

@@ -227,18 +227,16 @@ def replay_base(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-OLD_WINDOW = ("1996-01-01", "1999-06-30")
-NEW_WINDOW = ("1996-07-01", "2000-06-30")
-
-
-def snapshot(spark: SparkSession, sf: str, window: tuple[str, str], generation: int) -> DataFrame:
-    """Orders with lines shipped in a retention window: size is the shipped quantity."""
-    low, high = [F.lit(d).cast("timestamp_ntz") for d in window]
-    lines = table(spark, sf, "lineitem").where(F.col("l_shipdate").between(low, high))
-    per_order = lines.groupBy("l_orderkey").agg(
+def snapshot(spark: SparkSession, sf: str, generation: int) -> DataFrame:
+    """All orders but a tenth, another one in each generation; the second has larger sizes for every seventh."""
+    per_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_quantity").cast("long").alias("size_bytes"), F.max("l_shipdate").cast("timestamp").alias("mtime"),
         F.min("l_suppkey").alias("first_supplier"),
     )
+    key = F.col("l_orderkey")
+    per_order = per_order.where(key % 10 != (1 if generation == 1 else 0))
+    if generation == 2:
+        per_order = per_order.withColumn("size_bytes", F.col("size_bytes") + (key % 7 == 0).cast("long"))
     path = F.concat(F.lit("/orders/"), (F.col("l_orderkey") % 100).cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"))
     return per_order.select(
         path.alias("path_key"), path.alias("full_path"), F.lit(False).alias("is_directory"), "size_bytes", "mtime",
@@ -248,11 +246,11 @@ def snapshot(spark: SparkSession, sf: str, window: tuple[str, str], generation:
 
 
 def snap_old(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshot(spark, sf, OLD_WINDOW, 1)
+    return snapshot(spark, sf, 1)
 
 
 def snap_new(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshot(spark, sf, NEW_WINDOW, 2)
+    return snapshot(spark, sf, 2)
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -426,9 +424,9 @@ from (select *, {reading_sql('name')} reading from (
 
 
 _SNAP = """select '/orders/'||(l_orderkey % 100)||'/'||l_orderkey path_key, '/orders/'||(l_orderkey % 100)||'/'||l_orderkey full_path,
-  false is_directory, cast(sum(l_quantity) as bigint) size_bytes, max(l_shipdate) mtime,
+  false is_directory, cast(sum(l_quantity) as bigint) + {more} size_bytes, max(l_shipdate) mtime,
   case when min(l_suppkey) % 5 = 0 then 0 else l_orderkey + 1 end file_reference, {gen} generation
-from lineitem where l_shipdate between timestamp '{lo}' and timestamp '{hi}' group by l_orderkey"""
+from lineitem where l_orderkey % 10 <> {absent} group by l_orderkey"""
 
 VIEWS = {
     "files": f"""
@@ -470,8 +468,8 @@ select event_id seq, ts, '/u/'||(user_id % 10)||'/'||user_id full_path,
   case event_type when 'signup' then 'created' when 'click' then 'changed' when 'purchase' then 'renamed' else 'deleted' end kind,
   case when event_type = 'purchase' then '/u/'||((user_id + 1) % 10)||'/'||(user_id + 1) end old_full_path
 from events where event_type <> 'view'""",
-    "snap_old": _SNAP.format(gen=1, lo=OLD_WINDOW[0], hi=OLD_WINDOW[1]),
-    "snap_new": _SNAP.format(gen=2, lo=NEW_WINDOW[0], hi=NEW_WINDOW[1]),
+    "snap_old": _SNAP.format(gen=1, absent=1, more="0"),
+    "snap_new": _SNAP.format(gen=2, absent=0, more="(l_orderkey % 7 = 0)::bigint"),
     "nodes": "select p_partkey id, p_partkey // 8 parent_id, p_name||'-'||p_partkey as name from part",
     "journal": f"""
 select user_id + 8 ref, (user_id + 8) // 8 parent_ref, 'n'||user_id as name, user_id + 8 < 20 is_dir, event_id usn,

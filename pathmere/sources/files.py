@@ -1,12 +1,7 @@
-"""Reading folders, text files, archives and Parquet descriptions."""
+"""Reading folders, text files and Parquet descriptions."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +35,13 @@ def read_listing(spark: SparkSession, *roots: str) -> DataFrame:
     )
 
 
-def read_text_files(spark: SparkSession, *roots: str, max_bytes: int | None = None) -> DataFrame:
-    """Decoded text of files; whole files unless ``max_bytes`` asks for a preview."""
+def read_text_files(spark: SparkSession, *roots: str) -> DataFrame:
+    """Decoded text of whole files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots))
-    content = F.col("content") if max_bytes is None else F.substring(F.col("content"), 1, max_bytes)
-    cut = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     return files.select(
         plain_path(F.col("path")).alias("full_path"),
         F.col("length").alias("size_bytes"),
-        decode_text(content).alias("text"),
-        cut.alias("truncated"),
+        decode_text(F.col("content")).alias("text"),
     )
 
 
@@ -100,48 +92,6 @@ def is_binary(content: pd.Series) -> pd.Series:
     return content.map(lambda data: None if data is None else _is_binary(data))
 
 
-# --- archives ----------------------------------------------------------------------------
-
-ENTRY_SCHEMA = "entry_no long, entry_name string, entry_size long, error string"
-
-
-def _entries(data: bytes) -> Iterator[tuple[str, int]]:
-    stream = io.BytesIO(data)
-    if zipfile.is_zipfile(stream):
-        with zipfile.ZipFile(stream) as archive:
-            for info in archive.infolist():
-                yield info.filename, info.file_size
-        return
-    stream.seek(0)
-    with tarfile.open(fileobj=stream, mode="r:*") as archive:
-        for member in archive:
-            yield member.name, member.size
-
-
-def archive_entries(df: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """One row per zip or tar entry (name, unpacked size); unreadable archives give one error row."""
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch[key], batch[content]):
-                rows = []
-                try:
-                    for i, (entry, size) in enumerate(_entries(bytes(data))):
-                        rows.append((name, i, entry, size, None))
-                        if len(rows) == 10_000:
-                            yield pd.DataFrame(rows, columns=columns)
-                            rows = []
-                except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError) as broken:
-                    rows.append((name, None, None, None, type(broken).__name__))
-                if rows:
-                    frame = pd.DataFrame(rows, columns=columns)
-                    yield frame.astype({"entry_no": "Int64", "entry_size": "Int64"})
-
-    columns = [key, "entry_no", "entry_name", "entry_size", "error"]
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, content).mapInPandas(expand, f"{key} {kind}, {ENTRY_SCHEMA}")
-
-
 # --- Parquet -----------------------------------------------------------------------------
 
 def describe_parquet(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Signs of missing or truncated files in an error.
+DAMAGE = ("PATH_NOT_FOUND", "FILE_NOT_EXIST", "FileNotFoundException", "UNABLE_TO_INFER_SCHEMA", "is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "Could not read footer")
 POINTER_SCHEMA = "generation long, path string, row_count long, batch_id long"
 
 
@@ -41,8 +43,9 @@ def published(spark: SparkSession, folder: str):
         for pointer in candidates:
             if _complete(spark, pointer):
                 return pointer
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if not any(mark in str(error) for mark in DAMAGE):
+            raise
     return None
 
 
@@ -55,10 +58,14 @@ def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _complete(spark: SparkSession, pointer) -> bool:
-    """The row count recorded at publication still holds (read from file footers)."""
+    """The row count recorded at publication still holds (read from file footers).
+
+    Missing or truncated files make a generation unusable; any other error is raised, since an
+    older generation must not stand in for a newer one that merely could not be read just now.
+    """
     try:
         return spark.read.parquet(pointer.path).count() == pointer.row_count
-    except Exception as damaged:  # unreadable, truncated or missing files
-        if isinstance(damaged, KeyboardInterrupt):
-            raise
-        return False
+    except Exception as error:
+        if any(mark in str(error) for mark in DAMAGE):
+            return False
+        raise

@@ -75,10 +75,9 @@ def test_han_names_through_reading_table(spark):
 
 
 def test_limit_rules():
-    assert R.SearchRequest(terms=["x"], limit=9999).limit == 500
+    assert R.SearchRequest(terms=["x"], limit=9999).limit == 9999
     with pytest.raises(ValueError):
         R.SearchRequest(terms=["x"], limit=0)
-    assert [R.candidate_cap(n) for n in (1, 50, 500)] == [200, 1000, 5000]
 
 
 def test_batch_search_equals_single_search(spark):

@@ -1,7 +1,3 @@
-import io
-import tarfile
-import zipfile
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,8 +16,6 @@ def test_listing_and_text_files(spark, tmp_path):
     assert listed[f"{tmp_path}/a b+c%.txt"] == 7 and len(listed) == 5
     texts = {r.full_path.rsplit("/", 1)[1]: r.text for r in files.read_text_files(spark, str(tmp_path)).collect()}
     assert texts == {"a b+c%.txt": "Größe", "gbk.txt": "中文文本", "bin.dat": None, "u16.txt": "plain text", "be.txt": "ß"}
-    preview = {r.full_path.rsplit("/", 1)[1]: r.truncated for r in files.read_text_files(spark, str(tmp_path), max_bytes=5).collect()}
-    assert preview["a b+c%.txt"] and not preview["be.txt"]
 
 
 def test_binary_rule(spark):
@@ -35,21 +29,6 @@ def test_listing_reads_no_content(spark, sf_dir):
     assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
 
 
-def test_archives(spark):
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        z.writestr("dir/a.txt", "hello")
-        z.writestr("b.bin", b"\0" * 10)
-    tarred = io.BytesIO()
-    with tarfile.open(fileobj=tarred, mode="w:gz") as t:
-        info = tarfile.TarInfo("c.txt")
-        info.size = 3
-        t.addfile(info, io.BytesIO(b"abc"))
-    df = spark.createDataFrame([("z", packed.getvalue()), ("t", tarred.getvalue()), ("x", b"not an archive")], "id string, content binary")
-    got = sorted((r.id, r.entry_name or "", r.entry_size or 0, r.error is not None) for r in files.archive_entries(df, "id").collect())
-    assert got == [("t", "c.txt", 3, False), ("x", "", 0, True), ("z", "b.bin", 10, False), ("z", "dir/a.txt", 5, False)]
-
-
 def test_snapshots_publish_and_fall_back(spark, tmp_path):
     store = str(tmp_path / "store")
     with pytest.raises(FileNotFoundError):
@@ -105,6 +84,16 @@ def test_markdown(spark):
     ]
 
 
+def test_references_are_read_once(spark):
+    got = text_of(spark, html_to_text, "&#38;lt;b &AMP; &#X41;&#x1F600; &#1114111;x &#0; &eacute;&Omega;&rarr; \u0001 &#65; a&b", "no reference", None)
+    assert got == ["&lt;b &AMP; A\U0001f600 \U0010ffffx &#0; éΩ→ \u0001 A a&b", "no reference", None]
+
+
+def test_markdown_links_and_emphasis(spark):
+    md = ["[a [b] c](x(y)z \"t\") ![](i.png)![p](<q r>)", "***both*** __u__ 2*3*4 a_b_ *x* ** y", ">> deep\n~~~~ info\n# kept in fence\n~~~~", "a ~~b~~ ``c`d``"]
+    assert text_of(spark, markdown_to_text, *md) == ["a [b] c p", "both u 2*3*4 a_b x ** y", "deep\nkept in fence", "a b cd"]
+
+
 def test_mailbox(spark):
     text = (
         "From a@x Mon\r\nFrom: A <a@x>\r\nSubject: first\r\n second\r\nDate: d1\r\n\r\nbody\r\nSubject: not a header\r\n"
