@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathmere.functions import paths as P
+from pathmere.operators.aliases import with_alias_forms
+from pathmere.operators.catalog import with_path_columns
 from pathmere.functions.journal import DELETE_MASK, REASON_BITS, UPSERT_MASK, has_any
 from pathmere.operators.filters import not_excluded
 from pathmere.session import cut_lineage
@@ -151,16 +153,67 @@ def lower_changes(changes: DataFrame, record_filter: Callable[[Column], Column]
     return lowered.select("usn", "o.*", "file_reference", F.lit(False).alias("subtree")).select(*OP_COLUMNS)
 
 
+def touched_rows(catalog: DataFrame, ops: DataFrame) -> DataFrame:
+    """Catalog rows that a batch can change: named paths, purged references, deleted subtrees.
+
+    The catalog meets only keys of the batch, so its two narrow scans join with a small side;
+    ancestors are taken only if the batch deletes a subtree.
+    """
+    slim = catalog.select("path_key", "file_reference")
+    keys = ops.where("op <> 'purge'").select("path_key").distinct()
+    references = ops.where("op = 'purge' and file_reference > 0").select("file_reference").distinct()
+    hit = slim.join(keys, "path_key", "left_semi").select("path_key")
+    hit = hit.union(slim.join(references, "file_reference", "left_semi").select("path_key"))
+    trees = ops.where("subtree").select(F.col("path_key").alias("above")).distinct()
+    if not trees.isEmpty():
+        lineage = slim.select("path_key", F.explode(P.self_and_ancestors(F.col("path_key"))).alias("above"))
+        hit = hit.union(lineage.join(trees, "above", "left_semi").select("path_key"))
+    return catalog.join(hit.distinct(), "path_key", "left_semi")
+
+
+def change_delta(catalog: DataFrame, ops: DataFrame, generation: int = 0, readings: DataFrame | None = None, mode: str = "multilingual") -> DataFrame:
+    """What a batch of operations changes: new or changed rows, and ``removed`` ones by path key.
+
+    Only touched rows take part. A catalog with the derived columns of ``build_catalog`` gets them
+    for the changed rows too, so the result stays searchable.
+    """
+    ops = cut_lineage(ops)  # read in several places below, so compute the batch once
+    wide = "search_text" in catalog.columns
+    plain = catalog if "generation" in catalog.columns else catalog.withColumn("generation", F.lit(0).cast("long"))
+    near = cut_lineage(touched_rows(plain, ops))
+    fields = [*RECORD, "file_reference", "generation"]
+    before = near.select("path_key", F.struct(*fields).alias("_old"))
+    after = _applied(near, ops, generation).select("path_key", F.struct(*fields).alias("_new"))
+    changed = before.join(after, "path_key", "full").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    rows = changed.select("path_key", "_new.*", F.col("_new").isNull().alias("removed"))
+    if wide:
+        rows = with_path_columns(rows.withColumnRenamed("path_key", "_key")).withColumn("path_key", F.col("_key")).drop("_key")
+        rows = with_alias_forms(rows.withColumn("structural", F.lit(False)), readings, mode)
+    return cut_lineage(rows.select(*catalog.columns, "removed"))
+
+
+def with_delta(catalog: DataFrame, delta: DataFrame) -> DataFrame:
+    """Catalog with a delta merged on read."""
+    return catalog.join(delta.select("path_key"), "path_key", "left_anti").unionByName(delta.where("not removed").drop("removed"))
+
+
 def apply_operations(catalog: DataFrame, ops: DataFrame, generation: int = 0) -> DataFrame:
     """Catalog after a batch of operations, as if applied one by one in (usn, seq) order.
 
+    ``catalog`` has path_key, full_path, is_directory, size_bytes, mtime and file_reference, with
+    or without generation and the derived columns of ``build_catalog``; it keeps its columns.
+    """
+    return with_delta(catalog, change_delta(catalog, ops, generation))
+
+
+def _applied(catalog: DataFrame, ops: DataFrame, generation: int) -> DataFrame:
+    """Rows of ``catalog`` after a batch of operations.
+
     Nothing is replayed row by row: per path the latest upsert wins unless a later delete of the
     path (or, for subtree deletes, of an ancestor) or a later purge of its reference hides it.
     Every comparison is between positions aggregated per key, so hot paths and references are
-    combined on the map side. ``catalog`` has path_key, full_path, is_directory, size_bytes,
-    mtime, file_reference and generation.
+    combined on the map side.
     """
-    ops = cut_lineage(ops)  # read in several places below, so compute the batch once
     pos = F.struct("usn", "seq")
     content = F.struct(*RECORD)
     has_ref = F.col("file_reference") > 0

@@ -426,6 +426,27 @@ def superseded_queries(spark, sf):
     return C.drop_superseded(V.query_log(spark, sf), 1800).select("session_id", "seq")
 
 
+@query("""
+select lower('/docs/'||lang||'/'||source||'/moved-'||doc_id||'.txt') path_key, 'moved-'||doc_id||'.txt' as name, n_chars size_bytes from documents where doc_id % 10 = 1""")
+def search_after_changes(spark, sf):
+    """A search on the catalog after a batch that moves a tenth of the documents and deletes another."""
+    catalog, doc = V.catalog(spark, sf), c("path_key").startswith("/docs/") & ~c("is_directory")
+    docs = catalog.where(doc).withColumn("doc_id", c("file_reference") - 1)
+    moved = F.regexp_replace("full_path", "/doc-", "/moved-")
+    nothing = F.lit(None)
+    rename = docs.where("doc_id % 10 = 1").select(
+        c("doc_id").alias("usn"), F.lit("rename").alias("kind"), moved.alias("full_path"), c("full_path").alias("old_full_path"),
+        "is_directory", "size_bytes", "mtime", "file_reference", nothing.cast(C.LIVE_TYPE).alias("live_records"),
+    )
+    delete = docs.where("doc_id % 10 = 2").select(
+        c("doc_id").alias("usn"), F.lit("delete").alias("kind"), "full_path", nothing.cast("string").alias("old_full_path"),
+        "is_directory", "size_bytes", "mtime", "file_reference", nothing.cast(C.LIVE_TYPE).alias("live_records"),
+    )
+    after = C.apply_operations(catalog, C.lower_changes(rename.unionByName(delete)))
+    request = R.SearchRequest(terms=["moved"], include_ext=["txt"], limit=1_000_000)
+    return R.search(after, request).select("path_key", "name", "size_bytes")
+
+
 # --- sources and sinks ------------------------------------------------------------------
 
 @query("""
