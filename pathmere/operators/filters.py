@@ -99,9 +99,38 @@ def in_order(letters: str) -> Column:
     return F.lower("name").rlike(subsequence_pattern(letters.strip().lower()))
 
 
-def starts_with_variant(token: str) -> Column:
-    """Name starts with the token or with its snake/kebab spelling, ignoring case."""
-    return F.exists(P.name_variants(F.lit(token)), lambda v: F.startswith(F.lower("name"), v))
+def spellings(token: str) -> list[str]:
+    """The token in lower case, and a plain one of 3+ characters in snake and kebab case too (as ``name_variants``)."""
+    token = token.strip()
+    low = token.lower()
+    words = "".join(
+        "_" * bool(i and c.isupper() and (token[i - 1].islower() or (token[i - 1].isupper() and token[i + 1 : i + 2].islower()))) + c
+        for i, c in enumerate(token)
+    ).lower()
+    plain = len(low) >= 3 and not any(c.isspace() or c == ":" for c in token)
+    return list(dict.fromkeys([low, words, words.replace("_", "-")])) if plain and words != low else [low]
+
+
+def starts_with_variant(token: str, name: str | Column | None = None) -> Column:
+    """Name starts with the token or with its snake/kebab spelling, ignoring case.
+
+    ``name`` is the lower-cased name; on the stored ``name_lower`` the prefixes reach the scan.
+    """
+    low = F.lower("name") if name is None else name if isinstance(name, Column) else F.col(name)
+    condition = F.lit(False)
+    for spelling in spellings(token):
+        condition = condition | low.startswith(spelling)
+    return condition
+
+
+def stored_prefix(catalog: DataFrame, token: str) -> Column:
+    """:func:`starts_with_variant` on the sorted column of a stored catalog, where it is at hand."""
+    return starts_with_variant(token, "name_lower" if "name_lower" in catalog.columns else None)
+
+
+def stored_alias(catalog: DataFrame) -> Column:
+    """:func:`has_alias` on the partition column of a stored catalog, where it is at hand."""
+    return F.col("has_alias").cast("string") == "true" if "has_alias" in catalog.columns else has_alias()
 
 
 def pinned_match(terms: Sequence[str], excluded: Sequence[str] = ()) -> Column:

@@ -345,9 +345,11 @@ def search_many(
         }
     )
     ready = with_tie_breakers(scored, has_text, F.col("preferred_root"), usage, pinned, as_of)
+    widest = requests.agg(F.max("limit")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*rank_order()))
     return (
         ready.withColumn("rank", rank)
+        .where(F.col("rank") <= widest)  # a constant, so each partition is cut before the shuffle
         .where(F.col("rank") <= F.col("limit"))
         .select("query_id", *RESULT_COLUMNS)
     )
@@ -440,9 +442,9 @@ def lanes(catalog: DataFrame, request: SearchRequest, token: str | None = None)
     found: dict[str, DataFrame] = {}
     if request.preferred_root:
         found["preferred_root"] = rows.where((F.col("parent_key") == request.preferred_root.lower()) & in_order)
-    found["prefix"] = rows.where(flt.starts_with_variant(token or text))
+    found["prefix"] = rows.where(flt.stored_prefix(rows, token or text))
     if len(text) <= 2:
-        found["short_alias"] = rows.where(flt.has_alias() & aliases.contains(text))
+        found["short_alias"] = rows.where(flt.stored_alias(rows) & aliases.contains(text))
     found["contains"] = rows.where(name.contains(text) | aliases.contains(text))
     found["in_order"] = rows.where(in_order)
     return found
@@ -457,7 +459,7 @@ def prefix_lane(catalog: DataFrame, token: str, limit: int) -> DataFrame:
     """Names starting with a token: the exact name first, then shorter names."""
     exact = F.when(F.lower("name") == token.strip().lower(), 0).otherwise(1)
     return (
-        catalog.where(flt.starts_with_variant(token))
+        catalog.where(flt.stored_prefix(catalog, token))
         .withColumn("lane_class", exact)
         .orderBy("lane_class", *lane_order())
         .limit(limit)

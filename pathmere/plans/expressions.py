@@ -227,11 +227,11 @@ _filter("filter_outside_folders", lambda: flt.outside_named_folders(["SRC3", "br
         """select path_key from catalog where not regexp_matches(case when is_directory then path_key||'/' else parent_key||'/' end,
            '/(src3|brand#7|building)/')""")
 _filter("filter_metadata_names", flt.not_metadata, "select path_key from catalog where name not like '$%'")
-_filter("filter_name_prefix", lambda: flt.starts_with_variant("SpamFarm"),
-        "select path_key from catalog where regexp_matches(lower(name), '^spam[_-]?farm')")
-_filter("filter_name_prefix_plain", lambda: flt.starts_with_variant("Doc-1"),
-        "select path_key from catalog where lower(name) like 'doc-1%'")
-_filter("filter_has_alias", flt.has_alias, "select path_key from line_catalog where search_text <> ''", V.line_catalog)
+_filter("filter_name_prefix", lambda: flt.starts_with_variant("SpamFarm", "name_lower"),
+        "select path_key from catalog where regexp_matches(lower(name), '^spam[_-]?farm')", V.stored_catalog)
+_filter("filter_name_prefix_plain", lambda: flt.starts_with_variant("Doc-1", "name_lower"),
+        "select path_key from catalog where lower(name) like 'doc-1%'", V.stored_catalog)
+_filter("filter_has_alias", lambda: c("has_alias").cast("string") == "true", "select path_key from line_catalog where search_text <> ''", V.stored_lines)
 _filter("filter_in_order", lambda: flt.in_order("rdBlt"),
         "select path_key from catalog where lower(name) like '%r%d%b%l%t%'")
 _filter("filter_pinned_match", lambda: flt.pinned_match(["parts", "gear"], ["promo"]),

@@ -237,7 +237,7 @@ select path_key, min(lane_no) lane_no from (
   union all select path_key, 3 from catalog where lower(name) like '%d%o%c%-%1%') group by path_key"""))
 def match_lanes(spark, sf):
     """Union of the match lanes with the first lane of each row."""
-    return R.lane_candidates(V.catalog(spark, sf), REQUESTS[11]).select("path_key", "lane_no")
+    return R.lane_candidates(V.stored_catalog(spark, sf), REQUESTS[11]).select("path_key", "lane_no")
 
 
 _LANE_ORDER = "length(name), lower(name), name, length(full_path), full_path"
@@ -249,7 +249,7 @@ select path_key, lane_class, row_number() over (order by lane_class, {_LANE_ORDE
 def prefix_lane(spark, sf):
     from pyspark.sql import Window
 
-    rows = R.prefix_lane(V.catalog(spark, sf), "en", 200)
+    rows = R.prefix_lane(V.stored_catalog(spark, sf), "en", 200)
     order = Window.orderBy("lane_class", *R.lane_order())
     return rows.select("path_key", "lane_class", F.row_number().over(order).alias("pos"))
 

@@ -91,9 +91,13 @@ def stored(spark: SparkSession, sf: str, label: str, build, write=write_catalog)
     return spark.read.parquet(_STORED[key])
 
 
+def stored_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog with the columns its files are laid out by: ``name_lower`` and ``has_alias``."""
+    return stored(use_utc(spark), sf, "catalog", lambda: build_catalog(files(spark, sf)))
+
+
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
-    rows = stored(use_utc(spark), sf, "catalog", lambda: build_catalog(files(spark, sf)))
-    return rows.select(*CATALOG_COLUMNS)
+    return stored_catalog(spark, sf).select(*CATALOG_COLUMNS)
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,9 +107,14 @@ def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.where(F.trim("name") != "")
 
 
+def stored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The line catalog with the columns its files are laid out by."""
+    return stored(use_utc(spark), sf, "lines", lambda: _line_records(spark, sf))
+
+
 def line_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """A catalog whose names are document lines: long, accented, often repeated."""
-    return stored(use_utc(spark), sf, "lines", lambda: _line_records(spark, sf)).select(*CATALOG_COLUMNS)
+    return stored_lines(spark, sf).select(*CATALOG_COLUMNS)
 
 
 def _line_records(spark: SparkSession, sf: str) -> DataFrame:
