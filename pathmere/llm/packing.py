@@ -16,6 +16,7 @@ table gives an empty result; other columns can be named in ``carry``.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,20 +26,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathmere.llm.arrow import map_arrow, slices
+from pathmere.llm.arrow import map_arrow, raw, ship, slices
 from pathmere.llm.graph import stored
 
 #: Tokens in a sequence, pieces in a group on average, chunks of text a task keeps the ids of.
-LENGTH, GROUP_PIECES, CACHED = 2048, 4096, 1 << 19
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+LENGTH, GROUP_PIECES, CACHED = 2048, 4096, 1 << 18
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: ASCII characters that are neither letters nor white space.
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_SIGN[65:91] = _SIGN[97:123] = False
+
+
+def _byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others follow from 256."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Token ids of texts, by chunk.
 
     White space is dropped before the vocabulary's own splitting and no token spans it, so a text's
-    ids are those of its chunks, which repeat and are remembered. Of a new chunk, leading Latin
-    letters before an ASCII sign are looked up alone, as the splitting parts them too.
+    ids are those of its chunks, which repeat and are remembered. A chunk also ends between a Latin
+    letter and an ASCII sign, where the splitting parts them too, and A-Z are folded first, so
+    "Word," and "word" share an entry. Chunks of Latin letters alone are one word for the splitting
+    and go to the vocabulary's model at once; others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHED):
@@ -46,32 +61,43 @@ class Encoder:
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
-        self.parts = re.compile(_LETTERS + rb"(?=[\x21-\x40\x5b-\x60\x7b-\x7e])").match
+        self.tokenizer, self.known, self.older, self.limit = Tokenizer.from_file(path), {}, {}, limit
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.is_word = re.compile(rb"(?:[a-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++").fullmatch
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode().lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _learn(self, chunks: set[bytes]) -> None:
-        todo, composed = set(), []
+        known, older, todo = self.known, self.older, []
         for c in chunks:
-            m = self.parts(c)
-            if m:
-                head, tail = m[0].decode().lower().encode(), c[m.end() :]
-                composed.append((c, head, tail))
-                todo.add(head)
-                todo.add(tail)
+            if (ids := older.get(c)) is not None:
+                known[c] = ids
+            elif self.is_word(c):
+                known[c] = self._word(c)
             else:
-                todo.add(c)
-        fresh = list(todo - self.known.keys())
-        for c, e in zip(fresh, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, head, tail in composed:
-            self.known[c] = self.known[head] + self.known[tail]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [t.split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = set().union(*chunks) - self.known.keys()
+                todo.append(c)
+        for c, e in zip(todo, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in todo], add_special_tokens=False)):
+            known[c] = array("I", e.ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
+        data, offsets = raw(texts)
+        data = _FOLD[data]
+        if len(data) > 1:
+            letter = (data >= 97) & (data <= 122)
+            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            cut = np.flatnonzero(letter[:-1] & _SIGN[data[1:]]) + 1
+            data = np.insert(data, cut, 32)
+            offsets = offsets + np.searchsorted(cut, offsets)
+        text, at = data.tobytes(), offsets.tolist()
+        chunks = [text[a:b].split() for a, b in zip(at, at[1:])]
+        if len(self.known) > self.limit:  # what was used since the last time is kept
+            self.known, self.older = {}, self.known
+        new = set().union(*chunks).difference(self.known)
         if new:
             self._learn(new)
         get = self.known.__getitem__
@@ -96,7 +122,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
             texts = batch.column(2)
             for lo, hi in slices(texts):
                 out: list[list] = [[], [], [], [], [], []]
-                coded = encode([b"" if t is None else t for t in texts.slice(lo, hi - lo).cast(pa.binary()).to_pylist()])
+                coded = encode(texts.slice(lo, hi - lo))
                 for doc, row, whole in zip(ids[lo:hi], rows[lo:hi], coded):
                     whole += end
                     n = len(whole) // 4
@@ -150,6 +176,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
         group = table["_group"][0].as_py()
         return table.append_column("sequence_id", pa.array(bins + (group << 32))).append_column("offset", pa.array(offsets))
 
+    ship(pieces.sparkSession)
     full = salted.where(F.col("length") == length).withColumn("sequence_id", F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62))).withColumn("offset", F.lit(0).cast("long"))
     rest = salted.where(F.col("length") < length).repartitionById(groups, "_group").groupBy("_group").applyInArrow(one, schema)
     return full.unionByName(rest).drop("_group")
