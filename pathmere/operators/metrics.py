@@ -15,47 +15,48 @@ def values_at_ranks(
     """Exact order statistics per group, without holding a group in one task.
 
     ``ranks`` maps an output name to (fraction, rank), the rank counted from 1 as an expression
-    of the group size ``n``. A first pass brackets each rank between two approximate quantiles
-    (error well inside the margin); a second pass counts the values below the bracket and the
-    few distinct values inside it, both combined on the map side. Only those few meet in a
-    window. Small groups are bracketed by their extremes.
+    of the group size ``n``. A first pass brackets each rank between two approximate quantiles; a
+    second counts the values below the bracket and the few distinct values inside it, both
+    combined on the map side, and only those few meet in a window. A value counts only with its
+    rank proved; a rank that its bracket has missed is looked for once more between the extremes.
     """
-    margin, accuracy, small = 0.001, 10_000, 5_000
+    margin, accuracy = 0.001, 10_000
     rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
     points = []
     for fraction, _ in ranks.values():
         points += [max(0.0, fraction - margin), min(1.0, fraction + margin)]
     stats = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
         F.percentile_approx("_v", points, accuracy).alias("_q"),
     )
-    tiny = F.col("n") <= small
+    wanted = [
+        F.struct(
+            F.lit(name).alias("target"), rank.cast("long").alias("at"),
+            F.get("_q", F.lit(2 * i)).alias("lo"), F.get("_q", F.lit(2 * i + 1)).alias("hi"),
+        )
+        for i, (name, (_, rank)) in enumerate(ranks.items())
+    ]
     targets = stats.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("target"),
-                        rank.cast("long").alias("at"),
-                        F.when(tiny, F.col("_min")).otherwise(F.get("_q", F.lit(2 * i))).alias("lo"),
-                        F.when(tiny, F.col("_max")).otherwise(F.get("_q", F.lit(2 * i + 1))).alias("hi"),
-                    )
-                    for i, (name, (_, rank)) in enumerate(ranks.items())
-                ]
-            )
-        ).alias("t"),
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "least", "most", F.explode(F.array(*wanted)).alias("t")
     ).select("*", "t.*").drop("t")
+    found = _proved(rows, targets, keys)
+    same = [F.col(f"_f{i}").eqNullSafe(F.col(f"_k{i}")) for i in range(len(keys))] + [F.col("_ft") == F.col("target")]
+    known = found.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)], F.col("target").alias("_ft"))
+    missed = targets.join(known, same, "left_anti").withColumns({"lo": F.col("least"), "hi": F.col("most")})
+    every = found.unionByName(_proved(rows, missed, keys))
+    return every.groupBy(*keys, "n").agg(*[F.min(F.when(F.col("target") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def _proved(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, target, n, _v)`` of targets whose value lies in their bracket, by counting up to it."""
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     near = rows.join(targets, same).where(F.col("_v") <= F.col("hi"))
     # one row per group and target counts everything below the bracket: its value is null
     inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))
     counted = near.groupBy(*keys, "target", "n", "at", inside.alias("_v")).agg(F.count("*").alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*keys, "target").orderBy(F.col("_v").asc_nulls_first()))
-    hit = counted.withColumn("_upto", upto).where((F.col("_upto") >= F.col("at")) & F.col("_v").isNotNull())
-    return hit.groupBy(*keys, "n").agg(
-        *[F.min(F.when(F.col("target") == name, F.col("_v"))).alias(name) for name in ranks]
-    )
+    hit = (F.col("_upto") >= F.col("at")) & (F.col("_upto") - F.col("_c") < F.col("at")) & F.col("_v").isNotNull()
+    return counted.withColumn("_upto", upto).where(hit).select(*keys, "target", "n", "_v")
 
 
 def nearest_rank(fraction: float) -> tuple[float, Column]:

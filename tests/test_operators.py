@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -224,3 +225,17 @@ def test_candidates(spark):
     assert [(r.path_key, r.seq, r.source) for r in items.order_candidates(merged).collect()] == [("/a", 0, "y"), ("/b", 1, "y")]
     calm = merged.withColumn("is_foreground", F.lit(False)).withColumn("source", F.when(F.col("seq") == 1, "y").otherwise("x"))
     assert [r.path_key for r in items.order_candidates(calm, "y").collect()] == ["/b", "/a"]
+
+
+def test_ranks_are_proved_in_skewed_groups(spark):
+    """Order statistics of groups of all sizes, with ties, one value in most rows, and a null key."""
+    from pathmere.operators import metrics as M
+
+    rng = random.Random(7)
+    rows = [("big", float(rng.choice([1, 1, 1, 1, rng.random() * 100]))) for _ in range(6000)] + [("two", 5.0), ("two", 1.0), (None, 3.0), ("ties", 2.0)]
+    rows += [(f"g{i}", float(rng.randrange(9))) for i in range(20) for _ in range(rng.randrange(1, 9))]
+    got = {r.k: r for r in M.values_at_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p95": M.nearest_rank(0.95), "p10": M.nearest_rank(0.1)}).collect()}
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key)
+        at = lambda f: values[max(-(-int(f * 1000) * len(values) // 1000), 1) - 1]  # noqa: B023, E731
+        assert (got[key].n, got[key].p95, got[key].p10) == (len(values), at(0.95), at(0.1)), key
