@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pathmere.llm.arrow import by_ranges, map_arrow, raw, ship, shingles, slices, tidy, word_hashes
 
 K, SHINGLE = 128, 5
+#: Ranges whose first documents are looked up by a broadcast of 16 bytes each.
+BROADCAST_PARTS = 100_000
 
 
 def sketches(texts: pa.Array, k: int = K, size: int = SHINGLE) -> list[np.ndarray]:
@@ -107,6 +109,8 @@ def against_edits(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame
     lowest = tops.agg(F.min("_part").alias("host"), F.max("top").alias("top"))
     guests = tops.withColumn("host", F.lead("_part").over(Window.partitionBy(F.lit(0)).orderBy("_part")))
     guests = guests.where("host is not null").select("host", "top").unionByName(lowest)
+    # one row for each range: sent to all tasks while that is a few megabytes, else joined by key
+    guests = F.broadcast(guests) if parts <= BROADCAST_PARTS else guests
     guests = rows.join(guests, F.col("_key") == F.col("top")).select(F.col("host").alias("part"), F.col("text").alias("guest"))
     guests = guests.groupBy("part").agg(F.min("guest").alias("guest"))
 
