@@ -94,6 +94,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        starts as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20),
+        again as (select doc_id, i from (
+            select doc_id, i, row_number() over (partition by array_to_string(ws[i:i + 19], ' ') order by doc_id, i) as n from starts) where n > 1),
+        gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from again),
+        words as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as x from w),
+        kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from words anti join gone using (doc_id, p) group by doc_id)
+        select doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from w left join kept using (doc_id)
+    """,
     "op8_exact_dedup": r"""
         with b as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm, length(coalesce(text, '')) as n from documents)
         select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by norm) as group_size,
