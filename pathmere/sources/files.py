@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from pathmere.functions import paths as P
 
@@ -47,51 +47,69 @@ def read_text_files(spark: SparkSession, *roots: str) -> DataFrame:
 
 # --- byte decoding -----------------------------------------------------------------------
 
-_CONTROL_BYTES = bytes(b for b in range(0x20) if b not in (0x09, 0x0A, 0x0C, 0x0D))
+_MARKS = {"utf-8": "EFBBBF", "utf-16-le": "FFFE", "utf-16-be": "FEFF"}
 
 
-def _is_binary(data: bytes) -> bool:
-    """A zero byte, or more than one in twenty control bytes, at the start of the data."""
-    head = data[:4096]
-    controls = len(head) - len(head.translate(None, _CONTROL_BYTES))
-    return 0 in head or controls > len(head) // 20
+def _starts(content: Column, mark: str) -> Column:
+    return F.substring(content, 1, len(mark) // 2) == F.unhex(F.lit(mark))
 
 
-def _has_zero_pairs(data: bytes, offset: int) -> bool:
-    pairs = min(len(data) // 2, 128)
-    zeros = data[offset : pairs * 2 : 2].count(0)
-    return len(data) >= 4 and zeros >= pairs * 3 // 4
+def _latin(content: Column, size: int) -> Column:
+    """The first bytes as characters 0 to 255."""
+    return F.decode(F.substring(content, 1, size), "ISO-8859-1")
+
+
+def is_binary(content: Column | str) -> Column:
+    """A zero byte, or more than one in twenty control bytes, at the start of the data; null for null."""
+    content = F.col(content) if isinstance(content, str) else content
+    head = _latin(content, 4096)
+    controls = F.regexp_count(head, F.lit(r"[\x00-\x08\x0B\x0E-\x1F]"))
+    return head.contains("\0") | (controls > F.floor(F.length(head) / 20))
+
+
+def _wide(content: Column, offset: int) -> Column:
+    """Three quarters of the first 128 byte pairs have a zero at this offset: UTF-16 without a mark."""
+    pairs = F.least(F.floor(F.length(content) / 2), F.lit(128))
+    whole = F.substring(_latin(content, 256), F.lit(1), (pairs * 2).cast("int"))
+    zeros = F.regexp_count(F.regexp_replace(whole, r"(?s)(.)(.)", f"${offset + 1}"), F.lit(r"\x00"))
+    return (F.length(content) >= 4) & (zeros >= F.floor(pairs * 3 / 4))
+
+
+def decode_text(content: Column | str) -> Column:
+    """Text of a byte column: marks, UTF-16 guess, strict UTF-8, then GBK; null when binary.
+
+    UTF-8 is read by expressions; only UTF-16, GBK and damaged texts are handed to Python.
+    """
+    content = F.col(content) if isinstance(content, str) else content
+    marked = {name: _starts(content, mark) for name, mark in _MARKS.items()}
+    body = F.when(marked["utf-8"], content.substr(F.lit(4), F.length(content))).otherwise(content)
+    plain = ~(marked["utf-16-le"] | marked["utf-16-be"] | (~marked["utf-8"] & (_wide(content, 1) | _wide(content, 0))))
+    binary = plain & ~marked["utf-8"] & is_binary(content)
+    text = body.cast("string")
+    simple = plain & ~binary & F.is_valid_utf8(text)
+    rest = _decode_rest(F.when(~simple & ~binary, content))
+    return F.when(simple, text).otherwise(rest)
 
 
 def _decode(data: bytes | None) -> str | None:
+    """What expressions leave: UTF-16 with or without a mark, GBK, damaged UTF-8 behind its mark."""
     if data is None:
         return None
-    for mark, encoding in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
-        if data.startswith(mark):
-            return data[len(mark):].decode(encoding, "replace")
-    if _has_zero_pairs(data, 1):
-        return data.decode("utf-16-le", "replace")
-    if _has_zero_pairs(data, 0):
-        return data.decode("utf-16-be", "replace")
-    if _is_binary(data):
-        return None
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("gbk", "replace")
+    for name, mark in _MARKS.items():
+        if data.startswith(bytes.fromhex(mark)):
+            return data[len(mark) // 2 :].decode(name, "replace")
+    pairs = min(len(data) // 2, 128)
+    for name, offset in (("utf-16-le", 1), ("utf-16-be", 0)):
+        if len(data) >= 4 and data[offset : pairs * 2 : 2].count(0) >= pairs * 3 // 4:
+            return data.decode(name, "replace")
+    return data.decode("gbk", "replace")
 
 
 @F.pandas_udf(StringType())
-def decode_text(content: pd.Series) -> pd.Series:
-    """Text of a byte column: marks, UTF-16 guess, strict UTF-8, then GBK; null when binary."""
+def _decode_rest(content: pd.Series) -> pd.Series:
     return content.map(_decode)
 
 
-@F.pandas_udf(BooleanType())
-def is_binary(content: pd.Series) -> pd.Series:
-    return content.map(lambda data: None if data is None else _is_binary(data))
-
-
 # --- Parquet -----------------------------------------------------------------------------
 
 def describe_parquet(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:

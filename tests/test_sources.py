@@ -24,6 +24,15 @@ def test_binary_rule(spark):
     assert got == [False, True, False, True, False]
 
 
+def test_decoding(spark):
+    rows = [
+        (b"plain \xc3\xbc", "plain ü"), (b"\xef\xbb\xbfmark", "mark"), (b"\xef\xbb\xbfbad \xff", "bad \ufffd"), (b"\xff\xfea\x00", "a"), (b"\xfe\xff\x00a", "a"),
+        ("wide text".encode("utf-16-le"), "wide text"), ("wide text".encode("utf-16-be"), "wide text"), ("中文".encode("gbk"), "中文"), (b"a\x00bcdefgh", None), (b"", ""), (None, None),
+    ]
+    got = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(rows)], "i int, b binary").select("i", files.decode_text("b").alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [t for _, t in rows]
+
+
 def test_listing_reads_no_content(spark, sf_dir):
     plan = files.read_listing(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
