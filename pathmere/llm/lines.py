@@ -10,9 +10,9 @@ line of a group (smallest doc_id, then position) stays.
    sorted by key, and a stream over them keeps the keys that two different lines share.
 2. The texts of these lines are fetched in a second pass. A Bloom filter of at most 8 MB keeps most
    other lines out of the shuffle; it only ever lets too many pass.
-3. Lines of one band are compared exactly, each with the members of the groups found so far until
-   it joins them, so a group of near copies costs about one comparison for each line. Bands of one
-   key hold distinct lines only: a line in a third of all documents is there once.
+3. Lines of one band are compared exactly by a breadth-first walk: each line reached is compared at
+   once with all lines not reached yet, so a group of near copies costs about one comparison for
+   each line. Bands hold distinct lines only: a line in a third of all documents is there once.
 4. Components join across bands by distributed union-find, and the first line of each is found by
    ordinary aggregation.
 
@@ -40,6 +40,8 @@ BANDS, BAND_ROWS = 10, 3
 FILTER_BITS, PROBES = 1 << 26, 2
 #: Bytes of text that are signed at a time.
 SIGN_BYTES = 1 << 18
+#: Lines whose bands are compared together, at least.
+COMPARED = 1024
 _random = np.random.default_rng(9)
 _XOR = _random.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
 _FACTOR = _random.integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -191,36 +193,65 @@ def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return found.join(lines, "line", "left_semi").dropDuplicates(["id"])
 
 
-def shingles_of(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1)))
-
-
-def alike(a: frozenset, b: frozenset) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small < LIKENESS * large:
-        return False
-    both = len(a & b)
-    return both >= LIKENESS * (small + large - both)
-
-
-def grouped(sets: list[frozenset]) -> list[int]:
-    """The group of each of some distinct lines: components of the exact relation.
-
-    Each line is compared with every group, member by member, until one is alike; groups it joins
-    become one.
+def _shingle_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each line, numbered from 0, and the first of each line."""
+    data, offsets = raw(pa.array(texts, pa.string()))
+    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    lo = np.searchsorted(chars, offsets)
+    lo, hi = lo[:-1], lo[1:]
+    count = np.maximum(hi - lo - SHINGLE + 1, 1)
+    line = np.repeat(np.arange(len(texts)), count)
+    first = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + lo[line]
+    h = span_hashes(byte_sums(data), chars[first], chars[np.minimum(first + SHINGLE, hi[line])])
+    number = np.unique(h, return_inverse=True)[1]
+    keys = np.unique(line * (int(number.max()) + 1) + number)
+    line, number = np.divmod(keys, int(number.max()) + 1)
+    return number, np.searchsorted(line, np.arange(len(texts) + 1))
+
+
+def grouped(texts: list[str], groups: list[int] | None = None) -> list[int]:
+    """The first line of the component of each of some distinct lines, under the exact relation inside each group.
+
+    ``groups`` has the size of each group, one after the other; without it all lines are one.
+    Groups of two are compared all at once. Others are walked breadth-first: each line reached is
+    compared at once with all lines of its group not reached yet, so lines of one dense group cost
+    about one comparison each, and no pair is compared twice.
     """
-    groups: dict[int, list[int]] = {}
-    of: list[int] = []
-    for i, s in enumerate(sets):
-        joins = [g for g, members in groups.items() if any(alike(s, sets[m]) for m in members)]
-        to = joins[0] if joins else i
-        groups.setdefault(to, []).append(i)
-        of.append(to)
-        for g in joins[1:]:
-            for m in groups[g]:
-                of[m] = to
-            groups[to] += groups.pop(g)
-    return of
+    number, at = _shingle_table(texts)
+    size = np.diff(at)
+    label = np.arange(len(texts))
+    mark = np.zeros(int(number.max()) + 1, np.int32)
+    sizes = np.array([len(texts)] if groups is None else groups, np.int64)
+    begins = np.cumsum(sizes) - sizes
+    two = begins[sizes == 2]
+    if len(two):
+        pair = np.full(len(texts), -1, np.int64)
+        pair[two] = pair[two + 1] = np.arange(len(two))
+        of = np.repeat(pair, size)
+        keys = np.sort((of * (int(number.max()) + 1) + number)[of >= 0])
+        both = np.bincount(keys[1:][keys[1:] == keys[:-1]] // (int(number.max()) + 1), minlength=len(two))
+        near = both >= LIKENESS * (size[two] + size[two + 1] - both) - 1e-9
+        label[two[near] + 1] = two[near]
+    for begin, count in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        left = np.arange(begin, begin + count)
+        while len(left):
+            seed, left = int(left[0]), left[1:]
+            queue, flat = [seed], None
+            while queue and len(left):
+                if flat is None:  # shingles of the lines not reached, one after the other
+                    n = size[left]
+                    cut = np.cumsum(n) - n
+                    flat = number[np.repeat(at[left] - cut, n) + np.arange(int(n.sum()))]
+                v = queue.pop()
+                mark[number[at[v] : at[v + 1]]] = 1
+                both = np.add.reduceat(mark[flat], cut)
+                mark[number[at[v] : at[v + 1]]] = 0
+                near = both >= LIKENESS * (size[v] + size[left] - both) - 1e-9
+                if near.any():
+                    label[left[near]] = seed
+                    queue += left[near].tolist()
+                    left, flat = left[~near], None
+    return label.tolist()
 
 
 def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
@@ -228,35 +259,41 @@ def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, str] = {}
-        band, edges, seen = None, [], {}
+        band = None
+        ids: list[bytes] = []
+        lines: list[str] = []
+        sizes: list[int] = []
 
-        def flush() -> None:
+        def close() -> None:
+            """The band that has ended joins those that wait to be compared."""
             if len(held) > 1:
-                ids = list(held)
-                if tuple(ids) not in seen:  # the same lines often share several bands
-                    seen[tuple(ids)] = True
-                    of = grouped([shingles_of(held[i]) for i in ids])
-                    edges.extend((ids[i], ids[g]) for i, g in enumerate(of) if i != g)
+                ids.extend(held)
+                lines.extend(held.values())
+                sizes.append(len(held))
             held.clear()
 
         def out() -> pa.RecordBatch:
+            edges = [(ids[i], ids[g]) for i, g in enumerate(grouped(lines, sizes)) if i != g] if lines else []
+            for waiting in (ids, lines, sizes):
+                waiting.clear()
             a, b = zip(*edges) if edges else ((), ())
-            edges.clear()
-            seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
             for key, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != band:
-                    flush()
+                    close()
                     band = key
+                    if len(lines) >= COMPARED:
+                        yield out()
                 held[i] = text
-            if edges:
-                yield out()
-        flush()
+        close()
         yield out()
 
-    rows = bands.join(texts, "line").select("band", "id", "text")
+    # near lines share most bands: of the bands with the same lines (equal sums of hashes and counts) one is enough
+    sets = bands.groupBy("band").agg(F.bit_xor(F.xxhash64("line")).alias("x"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
+    once = sets.groupBy("x", "s", "n").agg(F.min("band").alias("band")).select("band")
+    rows = bands.join(once, "band", "left_semi").join(texts, "line").select("band", "id", "text")
     return map_arrow(rows.repartition("band").sortWithinPartitions("band", "id"), verify, "a binary, b binary")
 
 

@@ -150,7 +150,7 @@ def brute_lines(rows):
     for _, (_, t) in order:
         for x in (t or "").split("\n"):
             if y := x.strip(" \t\n\x0b\x0c\r"):
-                texts.setdefault(y, lines.shingles_of(y))
+                texts.setdefault(y, {y[i : i + 8] for i in range(max(1, len(y) - 7))})
     keys = list(texts)
     parent = {k: k for k in keys}
 
@@ -203,6 +203,10 @@ def test_line_dedup(spark, rows):
 
 
 def test_line_groups_are_components():
-    texts = ["abcdefghij" * 9 + "x" * i for i in range(0, 30, 5)] + ["something else entirely, you see"]
-    of = lines.grouped([lines.shingles_of(t) for t in texts])
-    assert of[-1] == len(texts) - 1 and len(set(of)) < len(texts)
+    texts = ["abcdefghij" * 9 + "x" * i for i in range(0, 30, 5)] + ["something else entirely, you see", "é", "", "é" * 7]
+    of = lines.grouped(texts)
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    reach = {i: {j for j in range(len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in range(len(texts))}
+    for _ in texts:
+        reach = {i: set().union(*(reach[j] for j in r)) for i, r in reach.items()}
+    assert of == [min(reach[i]) for i in range(len(texts))]
