@@ -1,5 +1,6 @@
 """SimHash near-dedup: fingerprints, and links within two bits found by a binary trie self-join.
 
+Shingle size, bit budget and blocks are parameters; the text names their defaults (3, 2, 3 blocks).
 Two fingerprints that differ in at most two bits agree in one of three blocks of bits. Three tries
 are joined with themselves, each with another block on top, and a pair of nodes is followed only
 while its differing bits are within the budget: none in the top block, two below it. The top
@@ -75,12 +76,12 @@ def simhashes(texts: pa.Array, size: int = 3, seed: int = 42) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``(doc_id, fp)`` with the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhashes(batch.column(1)).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhashes(batch.column(1), size).view(np.int64))], names=["doc_id", "fp"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
@@ -89,23 +90,23 @@ def _rotated(fp: Column, by: int) -> Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
 
 
-def _nodes(fps: DataFrame) -> DataFrame:
+def _nodes(fps: DataFrame, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """Each fingerprint in its top node of each trie: ``(trie, depth, a, b, side, x)``; a and b are the pair's prefixes."""
     tries = []
-    for trie, width in enumerate(BLOCKS):
-        x = _rotated(F.col("fp"), sum(BLOCKS[:trie]))
+    for trie, width in enumerate(blocks):
+        x = _rotated(F.col("fp"), sum(blocks[:trie]))
         top = F.shiftrightunsigned(x, BITS - width)
         tries.append(F.struct(F.lit(trie).alias("trie"), F.lit(width).alias("depth"), top.alias("a"), top.alias("b"), F.lit(0).alias("side"), x.alias("x")))
     return fps.select(F.explode(F.array(*tries)).alias("n")).select("n.*")
 
 
-def _split(nodes: DataFrame) -> DataFrame:
+def _split(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Send each row of a heavy node to all pairs of child nodes, ``SPLIT_BITS`` levels down, within the budget."""
-    masks = [m for m in range(1 << SPLIT_BITS) if bin(m).count("1") <= BUDGET]
+    masks = [m for m in range(1 << SPLIT_BITS) if bin(m).count("1") <= budget]
     bits = F.least(F.lit(SPLIT_BITS), F.lit(BITS) - F.col("depth"))
     spent = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     own = F.expr(f"shiftrightunsigned(shiftleft(x, depth), {BITS} - least({SPLIT_BITS}, {BITS} - depth))")
-    moved = nodes.withColumn("own", own).withColumn("mask", F.explode(F.lit(masks))).where((spent + F.bit_count("mask") <= BUDGET) & (F.col("mask") < F.expr(f"shiftleft(1, least({SPLIT_BITS}, {BITS} - depth))")))
+    moved = nodes.withColumn("own", own).withColumn("mask", F.explode(F.lit(masks))).where((spent + F.bit_count("mask") <= budget) & (F.col("mask") < F.expr(f"shiftleft(1, least({SPLIT_BITS}, {BITS} - depth))")))
     moved = moved.withColumn("other", F.col("own").bitwiseXOR(F.col("mask").cast("long"))).withColumn("bits", bits)
     one = F.col("a") == F.col("b")
     swap = F.when(one, F.col("other") < F.col("own")).otherwise(F.col("side") == 1)
@@ -180,7 +181,7 @@ def trie_links(x: np.ndarray, pairs: np.ndarray, depth: np.ndarray, budget: int
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def _links_of(table: pa.Table) -> pa.RecordBatch:
+def _links_of(table: pa.Table, budget: int = BUDGET, blocks: tuple[int, ...] = BLOCKS) -> pa.RecordBatch:
     """Spanning stars of the whole nodes in a table sorted by (trie, depth, a, b, side, x unsigned)."""
     trie, depth, a, b, side = (table.column(i).to_numpy() for i in range(5))
     x = table.column(5).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)  # the sort key has the sign flipped
@@ -193,17 +194,19 @@ def _links_of(table: pa.Table) -> pa.RecordBatch:
     one = a[at] == b[at]
     pairs = np.stack([at, np.where(one, to, mid), np.where(one, at, mid), to, np.bitwise_count((a[at] ^ b[at]).view(np.uint64)).astype(np.int64)], axis=1)
     ok = np.where(one, to - at > 1, (mid > at) & (to > mid))
-    i, j = trie_links(x, pairs[ok], depth[at][ok].astype(np.int64))
+    i, j = trie_links(x, pairs[ok], depth[at][ok].astype(np.int64), budget)
     label = spanning(i, j, len(x))
     moved = np.flatnonzero(label != np.arange(len(x)))
-    turn = np.array([0, *np.cumsum(BLOCKS)[:-1]], np.uint64)[trie]
+    turn = np.array([0, *np.cumsum(blocks)[:-1]], np.uint64)[trie]
     back = np.where(turn == 0, x, (x >> turn) | (x << ((np.uint64(BITS) - turn) & np.uint64(BITS - 1)))).view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(back[moved]), pa.array(back[label[moved]])], names=["a", "b"])
 
 
-def links(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """``(a, b)`` edges that connect exactly the distinct fingerprints ``(fp)`` linked within two bits."""
-    nodes, key = _nodes(fps), ["trie", "depth", "a", "b"]
+def links(fps: DataFrame, node_rows: int = NODE_ROWS, budget: int = BUDGET, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """``(a, b)`` edges that connect exactly the distinct fingerprints ``(fp)`` linked within ``budget`` bits."""
+    if sum(blocks) != BITS or len(blocks) <= budget:
+        raise ValueError(f"{len(blocks)} blocks of {sum(blocks)} bits for a budget of {budget}")
+    nodes, key = _nodes(fps, blocks), ["trie", "depth", "a", "b"]
     done = None
     while True:
         heavy = nodes.groupBy(*key).count().where((F.col("count") > node_rows) & (F.col("depth") < BITS)).select(*key)
@@ -212,7 +215,7 @@ def links(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
             break
         light = nodes.join(heavy, key, "left_anti")
         done = light if done is None else done.unionByName(light)
-        nodes = stored(_split(nodes.join(heavy, key, "left_semi")), "simhash-nodes")
+        nodes = stored(_split(nodes.join(heavy, key, "left_semi"), budget), "simhash-nodes")
     nodes = nodes if done is None else done.unionByName(nodes)
     flipped = F.col("x").bitwiseXOR(F.lit(_NO_ID))  # signed order of the flipped value is unsigned order
     nodes = nodes.withColumn("x", flipped).repartition(*key).sortWithinPartitions(*key, "side", "x")
@@ -232,20 +235,20 @@ def links(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
             if head or (held and [held[-1].column(i)[held[-1].num_rows - 1] for i in range(4)] != last):
                 whole = pa.Table.from_batches([*held, batch.slice(0, head)])
                 if whole.num_rows:
-                    yield _links_of(whole)
+                    yield _links_of(whole, budget, blocks)
                 held = []
             held.append(batch.slice(head))
         if held:
-            yield _links_of(pa.Table.from_batches(held))
+            yield _links_of(pa.Table.from_batches(held), budget, blocks)
 
     return map_arrow(nodes.select(*key, "side", "x"), run, "a long, b long")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
+def near_components(docs: DataFrame, size: int = 3, budget: int = BUDGET, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """``(doc_id, fp, component_id)``, one row per document."""
-    prints = stored(fingerprints(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))), "simhash-prints")
+    prints = stored(fingerprints(docs, size).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NO_ID))), "simhash-prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "simhash-distinct")
-    member = components(links(distinct.select("fp")))
+    member = components(links(distinct.select("fp"), budget=budget, blocks=blocks))
     distinct = distinct.join(member, F.col("fp") == F.col("node"), "left").select("fp", "doc", F.coalesce("component", "fp").alias("c"))
     least = distinct.groupBy("c").agg(F.min("doc").alias("component_id"))
     named = distinct.join(least, "c").select("fp", "component_id")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pathmere.llm import exact, graph, lines, simhash, substring
+from pathmere.llm import exact, graph, lines, simhash, similar, substring
 from llm_helpers import documents, odd_texts, words
 
 
@@ -210,3 +210,53 @@ def test_line_groups_are_components():
     for _ in texts:
         reach = {i: set().union(*(reach[j] for j in r)) for i, r in reach.items()}
     assert of == [min(reach[i]) for i in range(len(texts))]
+
+
+def edited_texts(seed=7):
+    """Texts with copies that have one to eight words replaced, so that Jaccard lies on both sides of 0.8."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 40, 120, 300]))]
+        for _ in range(rng.randrange(1, 7)):
+            copy = list(base)
+            for _ in range(rng.randrange(9)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), rng.choice([" ", "\n"]).join(copy).replace("w1", rng.choice(["w1", "W1"]))))
+    return rows
+
+
+def brute_similar(rows):
+    sets = []
+    for _, t in rows:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                part = [part[b] if p == part[a] else p for p in part]
+    ids = [-(1 << 63) if i is None else i for i, _ in rows]
+    return sorted((i, min(j for j, q in zip(ids, part) if q == p)) for i, p in zip(ids, part))
+
+
+@pytest.mark.parametrize("rows", [edited_texts(), odd_texts(), []])
+def test_similar_documents_of_the_pipeline_stage(spark, rows):
+    import corpus_pipeline
+
+    docs = documents(spark, rows).repartition(3)
+    want = brute_similar(rows)
+    assert sorted(map(tuple, similar.similar_components(docs).collect())) == want
+    left = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert left.columns == docs.columns and {-(1 << 63) if r.doc_id is None else r.doc_id for r in left.collect()} == {c for _, c in want}
+
+
+def test_trie_links_with_another_budget(spark):
+    rng = np.random.default_rng(1)
+    values = np.unique(np.array([12345 ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), False)) for _ in range(60)] + rng.integers(0, 2**63, 60).tolist(), np.uint64)).view(np.int64)
+    fps = spark.createDataFrame([(int(v),) for v in values], "fp long")
+    pairs = [(int(a), int(b)) for a in values for b in values if b < a and bin(int(a ^ b)).count("1") <= 4]
+    groups = lambda e: {frozenset(v) for v in graph.components(e).toPandas().groupby("component").node.agg(list)}
+    assert groups(simhash.links(fps, 20, 4, (13, 13, 13, 13, 12))) == groups(spark.createDataFrame(pairs, "a long, b long"))
+    with pytest.raises(ValueError):
+        simhash.links(fps, budget=3)
