@@ -2,7 +2,7 @@
 
 *Budgets.* A total of tokens flows down the tree by weight. A node that cannot hold its share (its
 tokens times ``max_epochs``) is filled, and the shortage goes to its siblings by weight; only when
-all siblings are full does it reach the parent's siblings. Only one row for each leaf of the given
+all siblings are full does it reach the parent's siblings. Only one row for each leaf of the
 tree reaches the driver.
 
 *Selection.* A leaf of n tokens with budget b takes b // n whole epochs, and of the next epoch the
@@ -11,14 +11,18 @@ tokens that still fit. Running sums are not taken over a leaf at once: tokens ar
 and hash bucket (buckets grow with the input, so a leaf with a third of all rows has many), the
 bucket in which the budget ends is found from these sums, and only its rows are ordered.
 
-Defined cases: a null level is the name "unknown"; leaves outside the tree have weight zero and are
-not selected; a null text has no tokens and is selected if the budget is not used up before it;
+*Tree.* It is given, or a function makes it from the leaves that the rows have. :func:`tree_of` names
+every leaf, with the target weights where named and default weights for all others, so no row falls
+outside it. Leaves outside a given tree have weight zero and are not selected.
+
+Defined cases: a null level is the name "unknown"; a null text has no tokens and is selected if the budget is not used up before it;
 equal hashes are ordered by doc_id, then text; repeated rows are selected each by itself; an empty
 table gives an empty result; other columns are carried in a struct.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,13 +86,16 @@ def budgets(tree: Tree, tokens: dict[tuple[str, ...], int], total: int, max_epoc
     return out
 
 
-def mix(docs: DataFrame, levels: list[Column], tree: Tree, share: float = 1.0, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, levels: list[Column], tree: Tree | Callable[[Iterable[tuple[str, ...]]], Tree], share: float = 1.0, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None) -> DataFrame:
     """``(row, leaf, epoch, n_tokens, take_tokens)`` for each selection; total = ``share`` of all tokens in the tree."""
     spark = docs.sparkSession
     named = F.array(*[F.coalesce(c.cast("string"), F.lit("unknown")) for c in levels])
     rows = docs.select(F.struct("*").alias("row"), named.alias("leaf"), (words_of() if tokens is None else tokens).alias("n_tokens"))
-    known = leaves(tree)
-    totals = {tuple(r["leaf"]): (r["t"], r["n"]) for r in rows.groupBy("leaf").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).where(F.array_join("leaf", "\x1f").isin(["\x1f".join(x) for x in known])).collect()}
+    counts = rows.groupBy("leaf").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"))
+    if not callable(tree):
+        counts = counts.where(F.array_join("leaf", "\x1f").isin(["\x1f".join(x) for x in leaves(tree)]))
+    totals = {tuple(r["leaf"]): (r["t"], r["n"]) for r in counts.collect()}
+    tree = tree(totals) if callable(tree) else tree
     have = {k: t for k, (t, _) in totals.items()}
     plan = budgets(tree, have, int(share * sum(have.values())), max_epochs)
     buckets = 1 << max(0, (max([n for _, n in totals.values()], default=1) // BUCKET_ROWS).bit_length())
@@ -123,6 +130,18 @@ def source_levels() -> list[Column]:
 #: Target weights: a quarter of the sources each.
 DOMAINS = {"web": 0.40, "books": 0.25, "news": 0.20, "forum": 0.15}
 LANGUAGES = {"en": 0.60, "fr": 0.15, "de": 0.15, "es": 0.10}
+#: Weight of every domain and language that has no target ("other", "unknown" and new ones), against those above.
+DEFAULT_WEIGHT = 0.05
+
+
+def tree_of(found: Iterable[tuple[str, ...]]) -> Tree:
+    """Tree over all (domain, language, source) that occur; sources of a domain and language weigh alike."""
+    tree: Tree = {}
+    for domain, lang, source in sorted(found):
+        _, langs = tree.setdefault(domain, (DOMAINS.get(domain, DEFAULT_WEIGHT), {}))
+        _, sources = langs.setdefault(lang, (LANGUAGES.get(lang, DEFAULT_WEIGHT), {}))
+        sources[source] = (1.0, {})
+    return tree
 
 
 def corpus_tree(sources: int = 20) -> Tree:

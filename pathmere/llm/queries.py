@@ -75,7 +75,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tokens as the corpus has, drawn to the target weights in at most three epochs."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing.source_levels(), mixing.corpus_tree(), max_epochs=3)
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), mixing.source_levels(), mixing.tree_of, max_epochs=3)
     level = lambda i, name: F.get("leaf", F.lit(i)).alias(name)
     return mixed.select(F.col("row.doc_id").alias("doc_id"), level(0, "domain"), level(1, "lang"), level(2, "source"), "epoch", "n_tokens", "take_tokens")
 

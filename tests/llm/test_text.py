@@ -239,6 +239,24 @@ def test_mixing_takes_prefixes_of_seeded_epochs(spark, bucket_rows, monkeypatch)
     assert mixing.mix(documents(spark, []), levels, tree).count() == 0
 
 
+def test_mixing_leaves_no_source_or_language_out(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = [("en", "src0"), ("en", "src20"), ("fr", "src77"), ("it", "src1"), (None, "src2"), ("en", "blog"), ("de", None), (None, None), ("es", "src99999999999")]
+    docs = documents(spark, [(i, "w " * (i % 9 + 1), *kinds[i % len(kinds)]) for i in range(180)]).repartition(3)
+    total = sum(i % 9 + 1 for i in range(180))
+    whole = mixing.mix(docs, mixing.source_levels(), mixing.tree_of).collect()
+    assert sorted(r.row.doc_id for r in whole) == list(range(180)) and sum(r.take_tokens for r in whole) == total
+    assert {tuple(r.leaf) for r in whole} >= {("web", "en", "src20"), ("other", "en", "blog"), ("other", "unknown", "unknown"), ("books", "it", "src1")}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    drawn = registered.op10_mixing(spark, str(tmp_path)).collect()
+    assert sum(r.take_tokens for r in drawn) == total and {(r.domain, r.lang) for r in drawn} >= {("other", "en"), ("other", "unknown"), ("books", "it"), ("news", "unknown")}
+    kept = corpus_pipeline.mixed(spark, docs, "")
+    assert kept.columns == docs.columns and kept.where("source is null or lang is null or source = 'src20'").count() > 0
+    given = mixing.budgets(mixing.corpus_tree(), {("web", "en", "src0"): 50, ("books", "fr", "src1"): 70}, 90, 2)
+    assert {k: v for k, v in given.items() if v} == mixing.budgets(mixing.tree_of([("web", "en", "src0"), ("books", "fr", "src1")]), {("web", "en", "src0"): 50, ("books", "fr", "src1"): 70}, 90, 2)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
