@@ -53,7 +53,8 @@ class Encoder:
     ids are those of its chunks, which repeat and are remembered. A chunk also ends between a Latin
     letter and an ASCII sign, where the splitting parts them too, and A-Z are folded first, so
     "Word," and "word" share an entry. Chunks of Latin letters alone are one word for the splitting
-    and go to the vocabulary's model at once; others go through the whole tokenizer.
+    and go to the vocabulary's model at once; others go through the whole tokenizer. Added tokens such
+    as <|endoftext|> are found in the raw text first, in exact case, as the tokenizer does.
     """
 
     def __init__(self, path: str, limit: int = CACHED):
@@ -63,6 +64,11 @@ class Encoder:
 
         self.tokenizer, self.known, self.older, self.limit = Tokenizer.from_file(path), {}, {}, limit
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError(f"added tokens of {path} are not found by their plain text")
+        self.added = {t.content.encode(): array("I", [i]).tobytes() for i, t in added.items()}
+        self.is_added = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)))
         self.is_word = re.compile(rb"(?:[a-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++").fullmatch
 
     def _word(self, word: bytes) -> bytes:
@@ -86,6 +92,24 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         data, offsets = raw(texts)
+        text = data.tobytes()
+        if not any(x in text for x in self.added):
+            return self._encode(data, offsets)
+        parts, first, marks, ends = [0], [0], {}, offsets.tolist()
+        for a, b in zip(ends, ends[1:]):
+            for found in self.is_added.finditer(text, a, b):
+                parts.append(found.start())
+                marks[len(parts) - 1] = self.added[found[0]]
+                parts.append(found.end())
+            parts.append(b)
+            first.append(len(parts) - 1)
+        coded = self._encode(data, np.array(parts))
+        for k, ids in marks.items():
+            coded[k] = ids
+        return [b"".join(coded[a:b]) for a, b in zip(first, first[1:])]
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of each part of the bytes; added tokens have been cut out."""
         data = _FOLD[data]
         if len(data) > 1:
             letter = (data >= 97) & (data <= 122)

@@ -70,6 +70,18 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(fast.encode(pa.array([text]))[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_finds_added_tokens_as_the_tokenizer_does():
+    rng = random.Random(4)
+    plain, fast = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER, limit=50)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "<|", "|>", "one", "Two", " ", "\n", "é", "!", "\u0301", "'s", "😀"]
+    texts = ["one two<|endoftext|>three", "", None, "<|endof", "text|>", "<|endoftext|>", "<|endoftext|><|startoftext|>"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    for some in (texts[:1], texts[:7], texts[7:], texts):
+        for text, ids in zip(some, fast.encode(pa.array(some, pa.string())), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert np.frombuffer(fast.encode(pa.array(texts[:1]))[0], "<u4").tolist() == [637, 1237, 49407, 2097]
+
+
 @pytest.mark.parametrize("rows", [odd_texts(), [(i, "word " * (i * 37 % 5000)) for i in range(60)], [(1, "a"), (1, "a")], []])
 def test_packing(spark, rows):
     plain = Tokenizer.from_file(TOKENIZER)
