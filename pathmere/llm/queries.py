@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathmere.llm import exact, fingerprints, lines, mixing, packing, pii, simhash, substring, toxicity, url_filter
+from pathmere.llm import exact, fingerprints, lattice, lines, mixing, packing, pii, repair, resample, simhash, sqltext, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), level(0, "domain"), level(1, "lang"), level(2, "source"), "epoch", "n_tokens", "take_tokens")
 
 
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict for all embeddings, by cosine 0.98 within a label."""
+    return lattice.near_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after seeded damage: faults, the cheapest edits and the digest of the repaired turns."""
+    return repair.digests(repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed by likeness to the benchmark texts, and the rank of the quarter drawn."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_fingerprints": op2_fingerprints,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_lattice": op11_lattice,
+    "op12_repair": op12_repair,
+    "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
@@ -111,4 +129,7 @@ ORACLES: dict[str, str] = {
                row_number() over w = 1 as kept, sha256(norm) as text_sha256
         from b window w as (partition by norm order by n desc, doc_id)
     """,
+    "op11_lattice": sqltext.LINKED_VECTORS,
+    "op12_repair": sqltext.REPAIRED_CONVERSATIONS,
+    "op13_resample": sqltext.RESAMPLED_DOCUMENTS,
 }
