@@ -233,13 +233,16 @@ def page_text(spark, sf):
     return V.spread(V.table(spark, sf, "pages")).select("page_id", html_to_text(c("html")).alias("text"))
 
 
-@query("""
-select doc_id, 'Doc '||doc_id||chr(10)||chr(10)||lang||' '||source||' link '||n_chars||' a_b_c'||chr(10)||chr(10)
-  ||trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))||chr(10)||'pic '||doc_id||' & <ok>' as text
+_MARKS = r"[`*_~\[\]()!#<>&\\|]"
+
+
+@query(rf"""
+select doc_id, regexp_replace(replace('Doc '||doc_id||chr(10)||chr(10)||lang||' '||source||' link '||n_chars||' a_b_c'||chr(10)||chr(10)
+  ||regexp_replace(text, '{_MARKS}', '', 'g')||chr(10)||'pic '||doc_id||' & <ok>', chr(13)||chr(10), chr(10)), '([ \t]*\n){{3,}}', chr(10)||chr(10), 'g') as text
 from documents""")
 def document_markdown_text(spark, sf):
-    """Every document set in Markdown: heading, quote, emphasis, link, fence, image, code and references around its words."""
-    words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    """Every whole document, less the marks of Markdown, in a frame of heading, quote, emphasis, link, fence, image, code and references."""
+    words = F.regexp_replace("text", _MARKS, "")
     md = F.concat(
         F.lit("# Doc "), "doc_id", F.lit("\n\n> **"), "lang", F.lit("** _"), "source", F.lit("_ [link "), "n_chars", F.lit("](http://x/(y)/"), "doc_id",
         F.lit(" 'title') `a_b_c`\n\n```text info\n"), words, F.lit("\n```\n![pic "), "doc_id", F.lit("](a.png) &amp; &lt;ok&gt;"),

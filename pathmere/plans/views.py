@@ -237,16 +237,16 @@ def replay_base(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf: str, generation: int) -> DataFrame:
-    """All orders but a tenth, another one in each generation; the second has larger sizes for every seventh."""
+    """All orders; in the second generation a tenth of them have moved and every seventh is larger."""
     per_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_quantity").cast("long").alias("size_bytes"), F.max("l_shipdate").cast("timestamp").alias("mtime"),
         F.min("l_suppkey").alias("first_supplier"),
     )
-    key = F.col("l_orderkey")
-    per_order = per_order.where(key % 10 != (1 if generation == 1 else 0))
+    key, moved = F.col("l_orderkey"), F.lit("")
     if generation == 2:
         per_order = per_order.withColumn("size_bytes", F.col("size_bytes") + (key % 7 == 0).cast("long"))
-    path = F.concat(F.lit("/orders/"), (F.col("l_orderkey") % 100).cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"))
+        moved = F.when(key % 10 == 0, "-moved").otherwise("")
+    path = F.concat(F.lit("/orders/"), (key % 100).cast("string"), F.lit("/"), key.cast("string"), moved)
     return per_order.select(
         path.alias("path_key"), path.alias("full_path"), F.lit(False).alias("is_directory"), "size_bytes", "mtime",
         F.when(F.col("first_supplier") % 5 == 0, 0).otherwise(F.col("l_orderkey") + 1).alias("file_reference"),
@@ -432,10 +432,10 @@ from (select *, {reading_sql('name')} reading from (
   from ({source})))"""
 
 
-_SNAP = """select '/orders/'||(l_orderkey % 100)||'/'||l_orderkey path_key, '/orders/'||(l_orderkey % 100)||'/'||l_orderkey full_path,
+_SNAP = """select '/orders/'||(l_orderkey % 100)||'/'||l_orderkey||{moved} path_key, '/orders/'||(l_orderkey % 100)||'/'||l_orderkey||{moved} full_path,
   false is_directory, cast(sum(l_quantity) as bigint) + {more} size_bytes, max(l_shipdate) mtime,
   case when min(l_suppkey) % 5 = 0 then 0 else l_orderkey + 1 end file_reference, {gen} generation
-from lineitem where l_orderkey % 10 <> {absent} group by l_orderkey"""
+from lineitem group by l_orderkey"""
 
 VIEWS = {
     "files": f"""
@@ -477,8 +477,8 @@ select event_id seq, ts, '/u/'||(user_id % 10)||'/'||user_id full_path,
   case event_type when 'signup' then 'created' when 'click' then 'changed' when 'purchase' then 'renamed' else 'deleted' end kind,
   case when event_type = 'purchase' then '/u/'||((user_id + 1) % 10)||'/'||(user_id + 1) end old_full_path
 from events where event_type <> 'view'""",
-    "snap_old": _SNAP.format(gen=1, absent=1, more="0"),
-    "snap_new": _SNAP.format(gen=2, absent=0, more="(l_orderkey % 7 = 0)::bigint"),
+    "snap_old": _SNAP.format(gen=1, moved="''", more="0"),
+    "snap_new": _SNAP.format(gen=2, moved="case when l_orderkey % 10 = 0 then '-moved' else '' end", more="(l_orderkey % 7 = 0)::bigint"),
     "nodes": "select p_partkey id, p_partkey // 8 parent_id, p_name||'-'||p_partkey as name from part",
     "journal": f"""
 select user_id + 8 ref, (user_id + 8) // 8 parent_ref, 'n'||user_id as name, user_id + 8 < 20 is_dir, event_id usn,
