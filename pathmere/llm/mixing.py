@@ -120,6 +120,16 @@ def mix(docs: DataFrame, levels: list[Column], tree: Tree | Callable[[Iterable[t
     return reduce(DataFrame.unionByName, (x.select(*fields) for x in (epochs, under, at)))
 
 
+def cut(mixed: DataFrame) -> DataFrame:
+    """The rows of a mix; of a document taken in part the first ``take_tokens`` words, joined by one blank, and their length in ``n_chars``."""
+    part = F.col("take_tokens") < F.col("n_tokens")
+    words = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col("take_tokens").cast("int")), " ")
+    row = F.col("row").withField("text", words)
+    if "n_chars" in mixed.schema["row"].dataType.names:
+        row = row.withField("n_chars", F.length(words).cast(mixed.schema["row"].dataType["n_chars"].dataType))
+    return mixed.select(F.when(part, row).otherwise(F.col("row")).alias("row")).select("row.*")
+
+
 def source_levels() -> list[Column]:
     """Domain, language and source of ``documents``: the domain of a source goes by its number."""
     number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")

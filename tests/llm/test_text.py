@@ -264,6 +264,7 @@ def test_mixing_leaves_no_source_or_language_out(spark, tmp_path):
     drawn = registered.op10_mixing(spark, str(tmp_path)).collect()
     assert sum(r.take_tokens for r in drawn) == total and {(r.domain, r.lang) for r in drawn} >= {("other", "en"), ("other", "unknown"), ("books", "it"), ("news", "unknown")}
     kept = corpus_pipeline.mixed(spark, docs, "")
+    assert sum(len(r.text.split()) for r in kept.collect()) == int(0.9 * total)  # the last document of a source is cut
     assert kept.columns == docs.columns and kept.where("source is null or lang is null or source = 'src20'").count() > 0
     given = mixing.budgets(mixing.corpus_tree(), {("web", "en", "src0"): 50, ("books", "fr", "src1"): 70}, 90, 2)
     assert {k: v for k, v in given.items() if v} == mixing.budgets(mixing.tree_of([("web", "en", "src0"), ("books", "fr", "src1")]), {("web", "en", "src0"): 50, ("books", "fr", "src1"): 70}, 90, 2)
