@@ -172,6 +172,11 @@ def touched_rows(catalog: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def change_delta(catalog: DataFrame, ops: DataFrame, generation: int = 0, readings: DataFrame | None = None, mode: str = "multilingual") -> DataFrame:
+    """``changed_rows``, computed once: it is read twice where it is merged."""
+    return cut_lineage(changed_rows(catalog, ops, generation, readings, mode))
+
+
+def changed_rows(catalog: DataFrame, ops: DataFrame, generation: int = 0, readings: DataFrame | None = None, mode: str = "multilingual") -> DataFrame:
     """What a batch of operations changes: new or changed rows, and ``removed`` ones by path key.
 
     Only touched rows take part. A catalog with the derived columns of ``build_catalog`` gets them
@@ -189,12 +194,13 @@ def change_delta(catalog: DataFrame, ops: DataFrame, generation: int = 0, readin
     if wide:
         rows = with_path_columns(rows.withColumnRenamed("path_key", "_key")).withColumn("path_key", F.col("_key")).drop("_key")
         rows = with_alias_forms(rows.withColumn("structural", F.lit(False)), readings, mode)
-    return cut_lineage(rows.select(*catalog.columns, "removed"))
+    return rows.select(*catalog.columns, "removed")
 
 
 def with_delta(catalog: DataFrame, delta: DataFrame) -> DataFrame:
     """Catalog with a delta merged on read."""
-    return catalog.join(delta.select("path_key"), "path_key", "left_anti").unionByName(delta.where("not removed").drop("removed"))
+    kept = catalog.join(delta.select("path_key"), "path_key", "left_anti").select(*catalog.columns)
+    return kept.unionByName(delta.where("not removed").drop("removed"))
 
 
 def apply_operations(catalog: DataFrame, ops: DataFrame, generation: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from pathmere.plans import views as V
 from pathmere.plans.registry import query
 from pathmere.plans.views import sql_with
 from pathmere.session import scratch_path, use_utc
-from pathmere.sources import records, snapshots
+from pathmere.sources import catalog_log, records, snapshots
 from pathmere.streaming import jobs
 
 c = F.col
@@ -429,7 +429,7 @@ def superseded_queries(spark, sf):
 @query("""
 select lower('/docs/'||lang||'/'||source||'/moved-'||doc_id||'.txt') path_key, 'moved-'||doc_id||'.txt' as name, n_chars size_bytes from documents where doc_id % 10 = 1""")
 def search_after_changes(spark, sf):
-    """A search on the catalog after a batch that moves a tenth of the documents and deletes another."""
+    """A search on the catalog log after a batch that moves a tenth of the documents and deletes another."""
     catalog, doc = V.catalog(spark, sf), c("path_key").startswith("/docs/") & ~c("is_directory")
     docs = catalog.where(doc).withColumn("doc_id", c("file_reference") - 1)
     moved = F.regexp_replace("full_path", "/doc-", "/moved-")
@@ -442,7 +442,10 @@ def search_after_changes(spark, sf):
         c("doc_id").alias("usn"), F.lit("delete").alias("kind"), "full_path", nothing.cast("string").alias("old_full_path"),
         "is_directory", "size_bytes", "mtime", "file_reference", nothing.cast(C.LIVE_TYPE).alias("live_records"),
     )
-    after = C.apply_operations(catalog, C.lower_changes(rename.unionByName(delete)))
+    folder = scratch_path(spark, "searched-log")
+    catalog_log.publish(catalog, folder, buckets=16)
+    catalog_log.apply(C.lower_changes(rename.unionByName(delete)), folder)
+    after = catalog_log.read(spark, folder)
     request = R.SearchRequest(terms=["moved"], include_ext=["txt"], limit=1_000_000)
     return R.search(after, request).select("path_key", "name", "size_bytes")
 
@@ -538,17 +541,28 @@ def hint_stream(spark, sf):
     return spark.read.parquet(f"{folder}/pending").select("full_path", "action")
 
 
-@query(sql_with(_REPLAYED, **_REPLAY_VIEWS))
-def change_stream(spark, sf):
-    """Changes arriving in three portions, each applied by a restarted query."""
+def _replayed_log(spark, sf, compact_after):
+    """The catalog log after changes that arrive in three portions, each applied by a restarted query."""
     use_utc(spark)
     source, folder = scratch_path(spark, "feed"), scratch_path(spark, "replay")
-    snapshots.save_snapshot(V.replay_base(spark, sf), f"{folder}/catalog", 1)
+    catalog_log.publish(V.replay_base(spark, sf), f"{folder}/catalog", buckets=16)
     changes = V.changes(spark, sf)
-    day = F.to_date("mtime")
-    early, late = F.lit("2024-01-11").cast("date"), F.lit("2024-01-21").cast("date")
-    for portion in (day < early, (day >= early) & (day < late), day >= late):
-        records.write_changes(changes.where(portion), source)
-        jobs.apply_change_stream(records.read_changes(spark, source, streaming=True), folder, generation=7).awaitTermination()
-    final = snapshots.load_snapshot(spark, f"{folder}/catalog")
-    return final.select("path_key", "size_bytes", "file_reference", "generation")
+    third = changes.agg(F.max("usn").alias("n")).first()["n"] // 3 + 1
+    for k in range(3):
+        records.write_changes(changes.where(F.floor(c("usn") / third) == k), source)
+        jobs.apply_change_stream(records.read_changes(spark, source, streaming=True), folder, generation=7, compact_after=compact_after).awaitTermination()
+    return f"{folder}/catalog"
+
+
+@query(sql_with(_REPLAYED, **_REPLAY_VIEWS))
+def change_stream(spark, sf):
+    """Base and the deltas of three portions, merged on read."""
+    folder = _replayed_log(spark, sf, compact_after=9)
+    return catalog_log.read(spark, folder).select("path_key", "size_bytes", "file_reference", "generation")
+
+
+@query(sql_with(_REPLAYED, **_REPLAY_VIEWS))
+def compacted_catalog(spark, sf):
+    """The same changes with the buckets that a delta touches merged after every batch."""
+    folder = _replayed_log(spark, sf, compact_after=1)
+    return catalog_log.read(spark, folder).select("path_key", "size_bytes", "file_reference", "generation")

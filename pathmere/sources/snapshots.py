@@ -13,16 +13,24 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathmere.operators.catalog import write_catalog
+
 #: Signs of missing or truncated files in an error.
 DAMAGE = ("PATH_NOT_FOUND", "FILE_NOT_EXIST", "FileNotFoundException", "UNABLE_TO_INFER_SCHEMA", "is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "Could not read footer")
 POINTER_SCHEMA = "generation long, path string, row_count long, batch_id long"
 
 
 def save_snapshot(df: DataFrame, folder: str, generation: int, batch_id: int = -1) -> None:
-    """Write a complete generation, count what was written, then publish it."""
+    """Write a complete generation, count what was written, then publish it.
+
+    A search catalog keeps the sorted layout of ``write_catalog``.
+    """
     spark = df.sparkSession
     target = f"{folder}/gen={generation}/attempt={uuid.uuid4().hex}"
-    df.write.parquet(target)
+    if {"name", "search_text"} <= set(df.columns):
+        write_catalog(df, target)
+    else:
+        df.write.parquet(target)
     rows = spark.read.parquet(target).count()
     pointer = spark.createDataFrame([(generation, target, rows, batch_id)], POINTER_SCHEMA)
     pointer.coalesce(1).write.mode("append").parquet(f"{folder}/pointer")

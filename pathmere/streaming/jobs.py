@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathmere.operators.changes import apply_operations, coalesce_hints, latest_state, lower_changes, needs_rescan
+from pathmere.operators.changes import coalesce_hints, latest_state, lower_changes
 from pathmere.operators.usage import roll_up
-from pathmere.sources.snapshots import load_snapshot, published, save_snapshot
+from pathmere.session import cut_lineage
+from pathmere.sources import catalog_log
 
 # Upper bounds (ms) of the duration histogram.
 DURATION_BOUNDS = [1, 5, 10, 25, 50, 100, 250, 500, 1000]
@@ -101,30 +102,42 @@ def last_batch(spark: SparkSession, folder: str) -> DataFrame:
     return log.join(newest, "batch_id", "left_semi").drop("batch_id")
 
 
+def apply_changes(batch: DataFrame, folder: str, record_filter: Callable[[Column], Column] | None = None, generation: int = 0, journal_id: int = 0) -> None:
+    """Append one batch of typed changes to the catalog log in ``folder``.
+
+    Changes at or below the committed position were applied before and are skipped, whichever query
+    brings them again. A batch that asks for a rescan, or one of another journal, is not applied: the
+    catalog is marked stale and no later batch is accepted until a full generation is published.
+    """
+    spark = batch.sparkSession
+    head = catalog_log.manifest(spark, folder)
+    if head is None:
+        raise FileNotFoundError("publish a full catalog before replaying changes")
+    if head.stale:
+        raise catalog_log.StaleCatalog(folder)
+    fresh = cut_lineage(batch.where(F.col("usn") > head.checkpoint.position))
+    last = fresh.agg(F.max("usn").alias("last"), F.bool_or(F.col("kind") == "rescan").alias("rescan")).first()
+    if last["last"] is None:
+        return
+    if last["rescan"] or journal_id != head.checkpoint.journal_id:
+        catalog_log.mark_stale(spark, folder)
+        raise catalog_log.StaleCatalog(folder)
+    catalog_log.apply(lower_changes(fresh, record_filter), folder, generation, journal_id, last["last"])
+
+
 def apply_change_stream(
-    changes: DataFrame, folder: str, record_filter: Callable[[Column], Column] | None = None, generation: int = 0
+    changes: DataFrame, folder: str, record_filter: Callable[[Column], Column] | None = None, generation: int = 0,
+    journal_id: int = 0, compact_after: int = 16,
 ) -> StreamingQuery:
-    """Apply typed changes micro-batch by micro-batch to the catalog generations in ``folder``.
+    """Apply typed changes micro-batch by micro-batch to the catalog log in ``folder/catalog``.
 
-    Data and position commit together: the published pointer carries the batch id, so a batch
-    replayed after a failure is skipped. A batch with a directory move is not applied; it leaves
-    a request in ``folder/rescans``.
+    Each batch writes what it changes. Buckets that ``compact_after`` deltas touch are merged. A stale
+    catalog ends the query with ``StaleCatalog``.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = published(spark, f"{folder}/catalog")
-        if current is None:
-            raise FileNotFoundError("publish a full catalog before replaying changes")
-        if current.batch_id >= batch_id:
-            return
-        marker = needs_rescan(batch)
-        if marker.head(1):
-            marker.withColumn("batch_id", F.lit(batch_id)).write.mode("append").json(f"{folder}/rescans")
-            return
-        ops = lower_changes(batch, record_filter)
-        merged = apply_operations(load_snapshot(spark, f"{folder}/catalog"), ops, generation)
-        save_snapshot(merged, f"{folder}/catalog", current.generation + 1, batch_id)
+        apply_changes(batch, f"{folder}/catalog", record_filter, generation, journal_id)
+        catalog_log.compact(batch.sparkSession, f"{folder}/catalog", compact_after)
 
     return (
         changes.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
