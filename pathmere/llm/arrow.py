@@ -119,7 +119,7 @@ def powers(n: int, lane: int = 0, inverse: bool = False) -> np.ndarray:
         known = np.full(max(n, 1 << 16), base, np.uint64)
         known[0] = 1
         known = np.cumprod(known, dtype=np.uint64)
-        if len(known) <= 1 << 23:
+        if len(known) <= 1 << 22:
             _powers[lane, inverse] = known
     return known[:n]
 
