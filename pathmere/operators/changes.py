@@ -96,6 +96,38 @@ def hard_link_changes(entries: DataFrame, live: DataFrame, root: str) -> DataFra
     )
 
 
+def connected_changes(journal: DataFrame, folders: DataFrame, live: DataFrame, root: str) -> DataFrame:
+    """Complete changes of journal entries, ready to be lowered: with size, time and live links.
+
+    ``live`` has one row per current link: ref, full_path, is_directory, size_bytes, mtime. An upsert
+    whose path has no readable row there asks for a rescan. A resync carries all live links of its
+    record inside the root, as many as the record has.
+    """
+    typed = journal_changes(journal, folders, root)
+    readable = live.where("size_bytes is not null and mtime is not null").select(
+        P.path_key(F.col("full_path")).alias("_key"), P.segment_ref(F.col("ref")).alias("_ref"), F.struct("full_path", *RECORD[1:]).alias("_live")
+    )
+    by_path = readable.groupBy("_key").agg(F.max_by("_live", "_ref").alias("_live"))
+    none = F.lit(None)
+    plain = typed.where("kind <> 'resync'").join(by_path, P.path_key(F.col("full_path")) == F.col("_key"), "left")
+    unread = (F.col("kind") == "upsert") & F.col("_live").isNull()
+    plain = plain.select(
+        "usn", F.when(unread, "rescan").otherwise(F.col("kind")).alias("kind"), "full_path", none.cast("string").alias("old_full_path"), F.col("is_dir").alias("is_directory"),
+        F.col("_live.size_bytes").alias("size_bytes"), F.col("_live.mtime").alias("mtime"), "file_reference", none.cast(LIVE_TYPE).alias("live_records"),
+    )
+    links = hard_link_changes(typed.where("kind = 'resync'"), live, root)
+    keyed = links.where("kind = 'live'").select("usn", "file_reference", P.path_key(F.col("full_path")).alias("_key"), F.col("file_reference").alias("_ref"))
+    found = keyed.join(readable, ["_key", "_ref"])
+    held = found.groupBy("usn", "file_reference").agg(F.array_sort(F.collect_set("_live")).cast(LIVE_TYPE).alias("live_records"))
+    others = links.where("kind <> 'live'").join(held, ["usn", "file_reference"], "left")
+    empty = F.array().cast(LIVE_TYPE)
+    others = others.select(
+        "usn", "kind", "full_path", none.cast("string").alias("old_full_path"), F.lit(False).alias("is_directory"), none.cast("long").alias("size_bytes"),
+        none.cast("timestamp").alias("mtime"), "file_reference", F.when(F.col("kind") == "resync", F.coalesce("live_records", empty)).alias("live_records"),
+    )
+    return plain.unionByName(others)
+
+
 # --- lowering and applying a batch -------------------------------------------------------
 
 LIVE_TYPE = "array<struct<full_path:string,is_directory:boolean,size_bytes:bigint,mtime:timestamp>>"

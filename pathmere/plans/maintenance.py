@@ -566,3 +566,47 @@ def compacted_catalog(spark, sf):
     """The same changes with the buckets that a delta touches merged after every batch."""
     folder = _replayed_log(spark, sf, compact_after=1)
     return catalog_log.read(spark, folder).select("path_key", "size_bytes", "file_reference", "generation")
+
+
+_USER_FOLDER = "'/vol/'||p_name||'-'||p_partkey"
+
+
+@query(sql_with(f"""
+select lower({_USER_FOLDER}||'/n'||user_id||'.txt') path_key, user_id * 10 size_bytes, user_id + 1 file_reference, 7 generation from u where last_event <> 'error'
+union all select '/vol/links/n'||user_id||'.txt', user_id * 10, user_id + 1, 7 from u where bought and user_id % 3 = 0
+union all select '/vol/old/n'||user_id||'.txt', 1, user_id + 1, 1 from u where not bought""", u="""
+select user_id, p_name, p_partkey, coalesce(arg_max(event_type, event_id) filter (event_type <> 'view'), 'error') last_event,
+  coalesce(bool_or(event_type = 'purchase'), false) bought
+from events join part on p_partkey = user_id % 50 + 1 group by all"""))
+def journal_to_catalog(spark, sf):
+    """Raw journal entries of all events in two portions, replayed by a restarted query over old links."""
+    use_utc(spark)
+    part = V.table(spark, sf, "part").select(c("p_partkey").alias("id"), F.concat(F.lit("/vol/"), "p_name", F.lit("-"), "p_partkey").alias("full_path"))
+    events = V.table(spark, sf, "events")
+    name = F.concat(F.lit("n"), "user_id", F.lit(".txt"))
+    at = F.lit("2024-03-01").cast("timestamp")
+    users = events.select("user_id").distinct().join(part.withColumnRenamed("full_path", "folder"), c("id") == c("user_id") % 50 + 1)
+    link = lambda folder, size: users.select(
+        (c("user_id") + 1).alias("ref"), F.concat(folder, F.lit("/"), name).alias("full_path"), F.lit(False).alias("is_directory"),
+        size.cast("long").alias("size_bytes"), at.alias("mtime"),
+    )
+    live = link(c("folder"), c("user_id") * 10).unionByName(link(F.lit("/vol/links"), c("user_id") * 10).where((c("ref") - 1) % 3 == 0))
+    old = link(F.lit("/vol/old"), F.lit(1)).select(
+        F.lower("full_path").alias("path_key"), "full_path", "is_directory", "size_bytes", "mtime", c("ref").alias("file_reference"), F.lit(1).cast("long").alias("generation")
+    )
+    bits = {"signup": "file_create", "click": "data_extend", "purchase": "hard_link_change", "error": "file_delete"}
+    reason = F.lit(C.REASON_BITS["close"])
+    for event, bit in bits.items():
+        reason = F.when(c("event_type") == event, C.REASON_BITS[bit]).otherwise(reason)
+    entries = events.select(
+        (c("user_id") + 1).alias("ref"), (c("user_id") % 50 + 1).alias("parent_ref"), name.alias("name"), F.lit(False).alias("is_dir"),
+        c("event_id").alias("usn"), reason.cast("long").alias("reason"),
+    )
+    source, folder = scratch_path(spark, "entries"), scratch_path(spark, "journal")
+    catalog_log.publish(old, f"{folder}/catalog", journal_id=5, buckets=16)
+    half = entries.agg(F.max("usn").alias("n")).first()["n"] // 2 + 1
+    for k in range(2):
+        entries.where(F.floor(c("usn") / half) == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(entries.schema).parquet(source)
+        jobs.replay_journal(stream, part, live, "/vol", folder, generation=7, journal_id=5).awaitTermination()
+    return catalog_log.read(spark, f"{folder}/catalog").select("path_key", "size_bytes", "file_reference", "generation")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathmere.operators.changes import coalesce_hints, latest_state, lower_changes
+from pathmere.operators.changes import coalesce_hints, connected_changes, latest_state, lower_changes
 from pathmere.operators.usage import roll_up
 from pathmere.session import cut_lineage
 from pathmere.sources import catalog_log
@@ -102,9 +102,11 @@ def last_batch(spark: SparkSession, folder: str) -> DataFrame:
     return log.join(newest, "batch_id", "left_semi").drop("batch_id")
 
 
-def apply_changes(batch: DataFrame, folder: str, record_filter: Callable[[Column], Column] | None = None, generation: int = 0, journal_id: int = 0) -> None:
+def apply_changes(batch: DataFrame, folder: str, record_filter: Callable[[Column], Column] | None = None, generation: int = 0, journal_id: int = 0, position: int | None = None) -> None:
     """Append one batch of typed changes to the catalog log in ``folder``.
 
+    ``position`` is how far the journal was read, where that is beyond the last change.
+
     Changes at or below the committed position were applied before and are skipped, whichever query
     brings them again. A batch that asks for a rescan, or one of another journal, is not applied: the
     catalog is marked stale and no later batch is accepted until a full generation is published.
@@ -117,12 +119,13 @@ def apply_changes(batch: DataFrame, folder: str, record_filter: Callable[[Column
         raise catalog_log.StaleCatalog(folder)
     fresh = cut_lineage(batch.where(F.col("usn") > head.checkpoint.position))
     last = fresh.agg(F.max("usn").alias("last"), F.bool_or(F.col("kind") == "rescan").alias("rescan")).first()
-    if last["last"] is None:
+    reached = max(last["last"] or -1, position or -1)
+    if reached <= head.checkpoint.position:
         return
     if last["rescan"] or journal_id != head.checkpoint.journal_id:
         catalog_log.mark_stale(spark, folder)
         raise catalog_log.StaleCatalog(folder)
-    catalog_log.apply(lower_changes(fresh, record_filter), folder, generation, journal_id, last["last"])
+    catalog_log.apply(lower_changes(fresh, record_filter), folder, generation, journal_id, reached)
 
 
 def apply_change_stream(
@@ -147,6 +150,29 @@ def apply_change_stream(
     )
 
 
+def replay_journal(
+    entries: DataFrame, folders: DataFrame, live: DataFrame, root: str, folder: str, generation: int = 0, journal_id: int = 0, compact_after: int = 16,
+) -> StreamingQuery:
+    """Raw journal entries to the catalog log: paths from ``folders``, size, time and links from ``live``.
+
+    ``folders`` and ``live`` are read anew for each batch. The position is committed with the data also
+    where no entry changes anything; an entry that cannot be placed or read ends the query as stale.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = cut_lineage(batch)
+        last = fresh.agg(F.max("usn").alias("usn")).first()["usn"]
+        apply_changes(connected_changes(fresh, folders, live, root), f"{folder}/catalog", None, generation, journal_id, last)
+        catalog_log.compact(batch.sparkSession, f"{folder}/catalog", compact_after)
+
+    return (
+        entries.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(step)
+        .start()
+    )
+
+
 def coalesce_hint_stream(hints: DataFrame, folder: str) -> StreamingQuery:
     """Pending actions per micro-batch; the trigger interval is the coalescing interval."""
 

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathmere.operators import changes as C
+from pathmere.sources import catalog_log
+from pathmere.streaming import jobs
 
 OPS = (
     "usn long, seq int, op string, path_key string, full_path string, is_directory boolean, size_bytes long, "
@@ -199,3 +201,54 @@ def test_superseded_requests(spark):
     df = spark.createDataFrame(rows, "session_id string, seq long, us long").withColumn("ts", F.timestamp_micros("us"))
     kept = C.drop_superseded(df, 0.08).collect()
     assert sorted((r.session_id, r.seq) for r in kept) == [("s", 2), ("s", 5), ("s", 6), ("s", 7), ("t", 0)]
+
+
+def test_connected_changes_carry_metadata_and_live_links(spark):
+    bit = C.REASON_BITS
+    entries = [
+        (1, 10, 1, "a.txt", False, bit["file_create"]), (2, 11, 1, "gone.txt", False, bit["data_extend"]), (3, 12, 1, "b.txt", False, bit["hard_link_change"]),
+        (4, 13, 1, "last.txt", False, bit["hard_link_change"]), (5, 14, 9, "lost.txt", False, bit["hard_link_change"]), (6, 15, 1, "c.txt", False, bit["file_delete"]),
+        (7, 16, 1, "unread.txt", False, bit["file_create"]), (8, 17, 1, "D", True, bit["rename_new_name"]), (9, 10, 1, "a.txt", False, bit["close"]),
+        (10, 18, 2, "out.txt", False, bit["hard_link_change"]),
+    ]
+    journal = spark.createDataFrame(entries, "usn long, ref long, parent_ref long, name string, is_dir boolean, reason long")
+    folders = spark.createDataFrame([(1, "/v/in"), (2, "/out")], "id long, full_path string")
+    at = datetime(2024, 1, 1)
+    rows = [(10, "/v/in/A.txt", 5), (12, "/v/in/other.txt", 6), (12, "/v/in/x.txt", 6), (12, "/out/y.txt", 6), (16, "/v/in/unread.txt", None)]
+    live = spark.createDataFrame([(r, p, False, n, at) for r, p, n in rows], "ref long, full_path string, is_directory boolean, size_bytes long, mtime timestamp")
+    got = {(r.usn, r.kind): r for r in C.connected_changes(journal, folders, live, "/v").collect()}
+    assert {k: r.full_path for k, r in got.items()} == {
+        (1, "upsert"): "/v/in/a.txt", (2, "rescan"): "/v/in/gone.txt", (3, "resync"): None, (3, "delete"): "/v/in/b.txt", (4, "resync"): None,
+        (4, "delete"): "/v/in/last.txt", (5, "rescan"): None, (6, "delete"): "/v/in/c.txt", (7, "rescan"): "/v/in/unread.txt", (8, "rescan"): "/v/in/D",
+    }
+    assert (got[1, "upsert"].size_bytes, got[1, "upsert"].mtime) == (5, at)
+    assert [r.full_path for r in got[3, "resync"].live_records] == ["/v/in/other.txt", "/v/in/x.txt"] and got[4, "resync"].live_records == []
+
+
+def test_journal_replay_equals_a_one_by_one_replay(spark, tmp_path):
+    """Random entries on few records; a plain loop applies each to a dictionary."""
+    rng, at, bit = random.Random(12), datetime(2024, 1, 1), C.REASON_BITS
+    names = {r: [f"/v/d/n{r}.txt"] + [f"/v/e/m{r}.txt"] * (r % 2) for r in range(1, 7)}
+    rows = [(r, p, False, r * 10, at) for r, own in names.items() for p in own]
+    live = spark.createDataFrame(rows, "ref long, full_path string, is_directory boolean, size_bytes long, mtime timestamp")
+    folders = spark.createDataFrame([(1, "/v/d"), (2, "/v/e")], "id long, full_path string")
+    base = {f"/v/old{r}": (1, r) for r in names}
+    want, entries = dict(base), []
+    for usn in range(60):
+        r, what = rng.randint(1, 6), rng.choice(["file_create", "file_delete", "hard_link_change", "close"])
+        entries.append((usn, r, 1, f"n{r}.txt", False, bit[what]))
+        if what == "file_create":
+            want[names[r][0]] = (r * 10, r)
+        elif what == "file_delete":
+            want.pop(names[r][0], None)
+        elif what == "hard_link_change":
+            want = {p: v for p, v in want.items() if v[1] != r} | {p: (r * 10, r) for p in names[r]}
+    schema = "usn long, ref long, parent_ref long, name string, is_dir boolean, reason long"
+    catalog = spark.createDataFrame([(p, p, False, n, at, r, 1) for p, (n, r) in base.items()], "path_key string, full_path string, is_directory boolean, size_bytes long, mtime timestamp, file_reference long, generation long")
+    source, folder = str(tmp_path / "entries"), str(tmp_path / "out")
+    catalog_log.publish(catalog, f"{folder}/catalog", buckets=4)
+    for k in range(3):
+        spark.createDataFrame(entries[k * 20 : k * 20 + 20], schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.replay_journal(spark.readStream.schema(schema).parquet(source), folders, live, "/v", folder).awaitTermination()
+    got = {r.path_key: (r.size_bytes, r.file_reference) for r in catalog_log.read(spark, f"{folder}/catalog").collect()}
+    assert got == want and catalog_log.manifest(spark, f"{folder}/catalog").checkpoint.position == 59
