@@ -10,7 +10,7 @@ from pathmere.plans import views as V
 from pathmere.plans.registry import query
 from pathmere.plans.views import sql_with
 from pathmere.session import scratch_path, use_utc
-from pathmere.sources import files
+from pathmere.sources import files, gram_index
 
 c = F.col
 
@@ -116,9 +116,29 @@ def rarest_grams(spark, sf):
 
 @query(sql_with("select query_id, path_key from catalog join terms on contains(lower(name), term)", terms=_GRAM_TERMS))
 def gram_search(spark, sf):
+    """Substring search through the stored index."""
+    return gram_index.substring_search(V.catalog(spark, sf), V.gram_index_folder(spark, sf), _gram_terms(spark)).select("query_id", "path_key")
+
+
+@query(sql_with("select query_id, path_key from catalog join terms on contains(lower(name), term)", terms=_GRAM_TERMS))
+def gram_search_unstored(spark, sf):
+    """The same search with postings made on the fly."""
     return grams.substring_search(V.catalog(spark, sf), _gram_terms(spark)).select("query_id", "path_key")
 
 
+@query(sql_with("select query_id, term, lower(name) name_lower from catalog join terms on contains(lower(name), term) group by all", terms=_GRAM_TERMS))
+def gram_index_updated(spark, sf):
+    """An index of an older catalog, without the web pages and with names that are gone, brought up to date by a delta."""
+    catalog = V.catalog(spark, sf)
+    web = c("path_key").startswith("/web/")
+    gone = catalog.where(c("path_key").startswith("/parts/")).withColumn("name", F.concat(F.lit("old "), "name"))
+    folder = scratch_path(spark, "older-grams")
+    gram_index.build_index(catalog.where(~web).unionByName(gone), folder)
+    touched = catalog.where(web).unionByName(gone).select(F.lower("name").alias("name_lower"))
+    gram_index.update_index(catalog, touched, folder, 1)
+    return gram_index.matching_names(spark, folder, _gram_terms(spark)).withColumn("term", F.lower("term"))
+
+
 @query(sql_with("select lower(name) name_lower, count(*) records, min(path_key) first_path, max(path_key) last_path from catalog group by 1"))
 def name_dictionary(spark, sf):
     return grams.name_dictionary(V.catalog(spark, sf))

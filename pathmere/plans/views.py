@@ -20,6 +20,7 @@ from pathmere.operators.catalog import (
 from pathmere.operators.search import SearchRequest, request_table
 from pathmere.operators.usage import roll_up
 from pathmere.session import scratch_path, use_utc
+from pathmere.sources.gram_index import build_index
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -100,6 +101,16 @@ def catalog(spark: SparkSession, sf: str) -> DataFrame:
     return stored_catalog(spark, sf).select(*CATALOG_COLUMNS)
 
 
+def gram_index_folder(spark: SparkSession, sf: str) -> str:
+    """The stored gram index of the catalog, built once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf, "grams")
+    if key not in _STORED:
+        path = scratch_path(spark, "grams")
+        build_index(catalog(spark, sf), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document as a name."""
     docs = spread(table(spark, sf, "documents"))
