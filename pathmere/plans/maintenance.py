@@ -492,17 +492,21 @@ def snapshot_fallback(spark, sf):
 
 # --- streams ----------------------------------------------------------------------------
 
-def _stream(spark, df, label, files=4):
-    """The rows of a table as a stream of several files, one per micro-batch."""
+def _stream(spark, df, label, order, files=4):
+    """The rows of a table as a stream of several files in the order of a column, one per micro-batch."""
     path = scratch_path(use_utc(spark), label)
-    df.repartition(files).write.parquet(path)
+    bounds = df.select(F.percentile_approx(order, [k / files for k in range(1, files)], 10_000).alias("q")).first()["q"] or []
+    edges = [None, *bounds, None]
+    for low, high in zip(edges, edges[1:]):
+        part = df if low is None else df.where(c(order) > low)
+        (part if high is None else part.where(c(order) <= high)).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), scratch_path(spark, label + "-out")
 
 
 @query(sql_with("select path_key, full_path, open_count, epoch_us(last_used_at) last_used_us from usage"))
 def usage_stream(spark, sf):
-    stream, folder = _stream(spark, V.opens(spark, sf), "opens")
-    jobs.write_updates(jobs.usage_counts(stream), folder).awaitTermination()
+    stream, folder = _stream(spark, V.opens(spark, sf), "opens", "event_id", 10)
+    jobs.write_updates(jobs.usage_counts(stream), folder, keys=["path_key"]).awaitTermination()
     found = jobs.latest_updates(spark, folder, ["path_key"])
     return found.select("path_key", "full_path", "open_count", F.unix_micros("last_used_at").alias("last_used_us"))
 
@@ -511,34 +515,40 @@ def usage_stream(spark, sf):
 select epoch_us(date_trunc('hour', started_at)) window_us, operation, outcome, count(*) n, count_if(total_ms <= 1) le_1,
   count_if(total_ms > 25 and total_ms <= 50) le_50, count_if(total_ms > 1000) above from metrics group by 1, 2, 3"""))
 def metric_stream(spark, sf):
-    stream, folder = _stream(spark, V.metrics(spark, sf), "metric-rows")
-    jobs.write_updates(jobs.metric_windows(stream, "1 hour", "60 days"), folder).awaitTermination()
-    found = jobs.latest_updates(spark, folder, ["window_start", "operation", "outcome"])
+    stream, folder = _stream(spark, V.metrics(spark, sf), "metric-rows", "started_at")
+    keys = ["window_start", "operation", "outcome"]
+    jobs.write_updates(jobs.metric_windows(stream, "1 hour", "1 hour"), folder, keys=keys).awaitTermination()
+    found = jobs.latest_updates(spark, folder, keys)
     return found.select(F.unix_micros("window_start").alias("window_us"), "operation", "outcome", "n", "le_1", "le_50", "above")
 
 
-@query(sql_with("select session_id, seq from kept", kept=_KEPT))
+@query(sql_with("""
+select session_id, seq from kept where epoch_ms(ts) + 1800000 <= (select max(epoch_ms(ts)) from events) - 3600000""", kept=_KEPT))
 def superseded_stream(spark, sf):
-    stream, folder = _stream(spark, V.query_log(spark, sf), "queries", 2)
-    bursts = jobs.last_of_bursts(stream, "30 minutes", "60 days")
-    jobs.write_updates(bursts, folder, "complete").awaitTermination()
-    return jobs.last_batch(spark, folder).select("session_id", "seq")
+    """Requests that are final: the last of a burst that ended before the watermark; open bursts are still state."""
+    stream, folder = _stream(spark, V.query_log(spark, sf), "queries", "ts")
+    jobs.write_updates(jobs.last_of_bursts(stream, "30 minutes", "1 hour"), folder, "append").awaitTermination()
+    return jobs.all_updates(spark, folder).select("session_id", "seq")
 
 
 @query(sql_with("""
 select path path_key, arg_max(op, row(usn, seq)) = 'upsert' is_live from ops where op <> 'purge' group by 1""", ev=_EV, ops=_OPS))
 def state_stream(spark, sf):
-    stream, folder = _stream(spark, C.lower_changes(V.changes(spark, sf)), "ops")
-    jobs.write_updates(jobs.latest_states(stream), folder).awaitTermination()
+    stream, folder = _stream(spark, C.lower_changes(V.changes(spark, sf)), "ops", "size_bytes")
+    jobs.write_updates(jobs.latest_states(stream), folder, keys=["path_key"]).awaitTermination()
     return jobs.latest_updates(spark, folder, ["path_key"]).select("path_key", "is_live")
 
 
 @query(sql_with("""
-select full_path, case state when 'deep' then 'refresh_recursive' else state end "action" from fold""", effects=_EFFECTS, fold=_FOLD))
+select full_path, hints, case state when 'deep' then 'refresh_recursive' else state end "action" from fold""", effects=_EFFECTS, fold=_FOLD))
 def hint_stream(spark, sf):
-    stream, folder = _stream(spark, V.hints(spark, sf), "hints", 1)
-    jobs.coalesce_hint_stream(stream, folder).awaitTermination()
-    return spark.read.parquet(f"{folder}/pending").select("full_path", "action")
+    """All hints in five files folded over micro-batches; a last hint long after them lets every timer run out."""
+    hints = V.hints(spark, sf)
+    end = hints.agg(F.max("seq").alias("seq"), (F.max("ts") + F.expr("interval 900 days")).alias("ts"))
+    end = end.select("seq", "ts", F.lit("/end").alias("full_path"), F.lit("changed").alias("kind"), F.lit(None).cast("string").alias("old_full_path"))
+    stream, folder = _stream(spark, hints.unionByName(end), "hints", "ts", 5)
+    jobs.coalesce_hint_stream(stream, folder, 1_800_000, "event", "400 days").awaitTermination()
+    return spark.read.parquet(f"{folder}/pending").select("full_path", "hints", "action")
 
 
 def _replayed_log(spark, sf, compact_after):

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pathmere.operators.changes import coalesce_hints, connected_changes, latest_state, lower_changes
+from pathmere.functions.paths import path_key
+from pathmere.operators.changes import connected_changes, hint_effects, latest_state, lower_changes
 from pathmere.operators.usage import roll_up
 from pathmere.session import cut_lineage
-from pathmere.sources import catalog_log
+from pathmere.sources import catalog_log, update_log
 
 # Upper bounds (ms) of the duration histogram.
 DURATION_BOUNDS = [1, 5, 10, 25, 50, 100, 250, 500, 1000]
@@ -69,14 +70,18 @@ def last_of_bursts(queries: DataFrame, gap: str, delay: str) -> DataFrame:
     )
 
 
-def write_updates(stream: DataFrame, folder: str, mode: str = "update") -> StreamingQuery:
-    """Append each micro-batch of results under its batch id and stop when input is used up.
+def write_updates(stream: DataFrame, folder: str, mode: str = "update", keys: list[str] | None = None) -> StreamingQuery:
+    """Store the results of each micro-batch and stop when input is used up.
 
-    A repeated batch overwrites its own folder only, so a restart changes nothing.
+    With ``keys`` later rows of a key replace earlier ones and the history is merged as it grows;
+    without, every batch is kept as it is (for append mode). A repeated batch changes nothing.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch_id={batch_id}")
+        if keys:
+            update_log.append(batch, f"{folder}/updates", batch_id, keys)
+        else:
+            batch.write.mode("overwrite").parquet(f"{folder}/updates/batch_id={batch_id}")
 
     return (
         stream.writeStream.outputMode(mode)
@@ -89,17 +94,12 @@ def write_updates(stream: DataFrame, folder: str, mode: str = "update") -> Strea
 
 def latest_updates(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     """Newest stored row per key of an update stream."""
-    log = spark.read.parquet(f"{folder}/updates")
-    fields = [c for c in log.columns if c not in (*keys, "batch_id")]
-    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch_id").alias("r"))
-    return newest.select(*keys, "r.*")
+    return update_log.read(spark, f"{folder}/updates", keys)
 
 
-def last_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """Result of the newest micro-batch (for jobs that rewrite their whole result)."""
-    log = spark.read.parquet(f"{folder}/updates")
-    newest = log.agg(F.max("batch_id").alias("batch_id"))
-    return log.join(newest, "batch_id", "left_semi").drop("batch_id")
+def all_updates(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of an append stream."""
+    return spark.read.parquet(f"{folder}/updates").drop("batch_id")
 
 
 def apply_changes(batch: DataFrame, folder: str, record_filter: Callable[[Column], Column] | None = None, generation: int = 0, journal_id: int = 0, position: int | None = None) -> None:
@@ -173,17 +173,71 @@ def replay_journal(
     )
 
 
-def coalesce_hint_stream(hints: DataFrame, folder: str) -> StreamingQuery:
-    """Pending actions per micro-batch; the trigger interval is the coalescing interval."""
+def coalesce_hint_stream(hints: DataFrame, folder: str, quiet_ms: int = 300, clock: str = "processing", delay: str = "0 seconds", **trigger) -> StreamingQuery:
+    """Pending actions of paths that had no hint for ``quiet_ms``, appended to ``folder/pending``.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        coalesce_hints(batch).write.mode("overwrite").parquet(f"{folder}/pending/batch_id={batch_id}")
-
-    return (
-        hints.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(step)
-        .start()
+    The state of a path is three maxima and its last name; it outlives micro-batches and ends with the
+    path's timer, which every hint puts off. The clock is that of the machine or, for replays, the
+    hints' own ``ts`` (with a watermark of ``delay``; hints behind it are late and dropped).
+    """
+    spark = hints.sparkSession
+    by_event = clock == "event"
+    rows = hints.withWatermark("ts", delay) if by_event else hints
+    keyed = hint_effects(rows).select(path_key(F.col("full_path")).alias("key"), "full_path", "seq", "effect", "ts", F.unix_millis("ts").alias("at"))
+    pending = keyed.groupBy("key").transformWithStateInPandas(
+        _pending_processor(quiet_ms, by_event), "full_path string, hints long, action string", "Append", "EventTime" if by_event else "ProcessingTime"
     )
 
-
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/pending/batch_id={batch_id}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    try:
+        return (
+            pending.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(**(trigger or {"availableNow": True})).foreachBatch(step).start()
+        )
+    finally:
+        spark.conf.set(provider, before)
+
+
+def _pending_processor(quiet_ms: int, by_event: bool):
+    """The state logic, defined here so that workers need no installed package."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Pending(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("pending", "full_path string, named long, deleted long, deep long, refreshed long, hints long, due long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            path, named, deleted, deep, refreshed, hints, due = self.state.get() or (None, -1, -1, -1, -1, 0, -1)
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            last = -1
+            for frame in rows:
+                best = lambda kind, old: max(old, int(frame.seq[frame.effect == kind].max()) if (frame.effect == kind).any() else -1)
+                deleted, deep, refreshed = best("delete", deleted), best("deep", deep), best("refresh", refreshed)
+                newest = frame.sort_values(["seq", "full_path"]).iloc[-1]
+                if (int(newest.seq), newest.full_path) >= (named, path or ""):
+                    named, path = int(newest.seq), newest.full_path
+                hints += len(frame)
+                last = max(last, int(frame["at"].max()))
+            due = max(due, last + quiet_ms) if by_event else timerValues.getCurrentProcessingTimeInMs() + quiet_ms
+            self.handle.registerTimer(due)
+            self.state.update((path, named, deleted, deep, refreshed, hints, due))
+            yield pd.DataFrame({"full_path": [], "hints": [], "action": []}).astype({"full_path": str, "hints": "int64", "action": str})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            path, _, deleted, deep, refreshed, hints, _ = self.state.get()
+            action = "refresh_recursive" if deep >= max(deleted, 0) else "refresh" if refreshed > deleted else "delete"
+            self.state.clear()
+            yield pd.DataFrame({"full_path": [path], "hints": [hints], "action": [action]})
+
+        def close(self) -> None:
+            pass
+
+    return Pending()
