@@ -41,6 +41,12 @@ def tidy() -> None:
         trim(0)
 
 
+def forget() -> None:
+    """Drop tables kept between batches; for tasks whose workers go on to other stages."""
+    _powers.clear()
+    tidy()
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where it is not installed (tests, local runs), in batches of bounded size."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -119,7 +125,7 @@ def powers(n: int, lane: int = 0, inverse: bool = False) -> np.ndarray:
         known = np.full(max(n, 1 << 16), base, np.uint64)
         known[0] = 1
         known = np.cumprod(known, dtype=np.uint64)
-        if len(known) <= 1 << 22:
+        if len(known) <= 1 << 23:
             _powers[lane, inverse] = known
     return known[:n]
 

@@ -89,6 +89,12 @@ class Encoder:
         for c, e in zip(todo, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in todo], add_special_tokens=False)):
             known[c] = array("I", e.ids).tobytes()
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps few words: it may go on to other stages."""
+        self.older = {}
+        if len(self.known) > self.limit // 8:
+            self.known = {}
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         data, offsets = raw(texts)
@@ -155,6 +161,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
                         for column, value in zip(out, (doc, row, start, stop - start, whole[4 * start : 4 * stop], n)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "row", "start", "length", "ids", "doc_tokens"])
+        encoder(tokenizer).rest()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows, run, "doc_id long, row long, start long, length long, ids binary, doc_tokens long")
