@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathmere.llm.arrow import byte_sums, map_arrow, raw, slices, span_hashes, spans
+from pathmere.llm.arrow import IS_SPACE, byte_sums, map_arrow, raw, slices, span_hashes, spans
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -167,6 +167,7 @@ _DOT = rf"(?:\s*{_OPEN}(?:{_any(DOTS)}|\.){_CLOSE}\s*|\s+(?:{_any(DOTS)})\s+|\.)
 _DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*+)(?P<at>{_AT})(?P<domain>[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++)", re.IGNORECASE
 )
+_BRACKETED = re.compile(rf"(?<=[0-9])\s*{_OPEN}(?:{_any(DOTS)}|\.){_CLOSE}\s*(?=[0-9])", re.IGNORECASE)
 _ONE_DOT, _LAST = re.compile(_DOT, re.IGNORECASE), re.compile(r"[A-Za-z]{2,12}$")
 
 
@@ -174,14 +175,15 @@ def _spelled(m: Mapped) -> Mapped:
     """Runs of spelled digits become digits, their separators go; a spelled dot between them stays a dot."""
     edits = []
     for run in _SPELLED.finditer(m.text):
-        words = [w for w in _WORD.finditer(m.text, run.start(), run.end()) if w[0] != "."]
-        names = sum(w[0].lower() in DIGITS for w in words)
-        if names < RUN:
+        # a literal dot counts where it joins two words, not where it ends a sentence
+        words = [w for w in _WORD.finditer(m.text, run.start(), run.end()) if w[0] != "." or not m.text[w.end() : w.end() + 1].isspace()]
+        low = [w[0].lower() for w in words]
+        if not any(w in DIGITS or w in DOTS for w in low) or sum(1 if w in DIGITS else len(w) * w.isdigit() for w in low) < RUN:
             continue
         last = run.start()
         for w in words:
             low = w[0].lower()
-            sign = DIGITS.get(low) or ("." if low in DOTS else "+" if low in PLUS else None)
+            sign = DIGITS.get(low) or ("." if low in DOTS or low == "." else "+" if low in PLUS else None)
             if last < w.start():
                 edits.append((last, w.start(), ""))
             if sign:
@@ -190,6 +192,11 @@ def _spelled(m: Mapped) -> Mapped:
     return m.replaced(edits)
 
 
+def _dots(m: Mapped) -> Mapped:
+    """Dots in brackets between digits become plain dots."""
+    return m.replaced([(*found.span(), ".") for found in _BRACKETED.finditer(m.text)])
+
+
 def _signs(m: Mapped) -> Mapped:
     """At and dot disguises of an address become signs; a bare "at" needs a disguised dot behind it."""
     edits = []
@@ -213,13 +220,15 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows, in source offsets."""
     found: set[Span] = set()
     letters = Mapped.of(text).characters()
-    for m in (_signs(letters), _spelled(letters)):
+    digits = _spelled(_dots(letters))
+    for m in (_signs(digits), _signs(letters), digits):  # chained first: its spans are the widest
         edges = np.concatenate(([0], np.cumsum(m.changed)))
         for kind, a, b in plain(m.text):
             if edges[a] == edges[b]:
                 continue
             start, end = m.source(a, b)
-            if all(k != kind or e <= start or end <= s for k, s, e in known) and all(k != kind or e <= start or end <= s for k, s, e in found):
+            # beside a plain span only one that reaches beyond it, as where a look-alike letter cuts the plain one short
+            if all(k != kind or e <= start or end <= s or (start <= s and e <= end and (s, e) != (start, end)) for k, s, e in known) and all(k != kind or e <= start or end <= s for k, s, e in found):
                 found.add((kind, start, end))
     return list(found)
 
@@ -270,7 +279,9 @@ def triggers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     bracketed = (ends - starts == 2) & (folded[starts] == 97) & (folded[np.minimum(starts + 1, len(folded) - 1)] == 116)
     near = lambda p, table: table[data[np.clip(p, 0, len(data) - 1)]]
     bracketed &= near(starts - 1, _OPENS) | near(starts - 2, _OPENS) | near(ends, _CLOSES)
-    return simple, at | odd | has(starts[: len(run)][run]) | has(starts[_member(h, signs) | bracketed])
+    dots = np.flatnonzero(data == 46)
+    dots = dots[near(dots - 1, _OPENS) | near(dots - 2, _OPENS) & (near(dots - 1, IS_SPACE))]
+    return simple, at | odd | has(dots) | has(starts[: len(run)][run]) | has(starts[_member(h, signs) | bracketed])
 
 
 def find(docs: DataFrame) -> DataFrame:

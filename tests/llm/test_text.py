@@ -282,3 +282,25 @@ def test_pipeline_stages(spark, sf_dir):
         before = docs.count()
     last = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("text, kind, part", [
+    ("at one nine two.one six eight.one.one now", "ip", "one nine two.one six eight.one.one"),
+    ("call +1 five five five 123 4567 today", "phone", "+1 five five five 123 4567"),
+    ("host 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+    ("host 192[.]168[.]1[.]1 is up", "ip", "192[.]168[.]1[.]1"),
+    ("host 192[ . ]168(dot)1[.]1 is up", "ip", "192[ . ]168(dot)1[.]1"),
+    ("write bob ( at ) example.com", "email", "bob ( at ) example.com"),
+    ("user three four five six at example dot com", "email", "three four five six at example dot com"),
+    ("b\u043eb@example.com", "email", "b\u043eb@example.com"),
+])
+def test_disguises_that_need_chained_transducers(spark, text, kind, part):
+    row = pii.find(documents(spark, [(1, text)])).first()
+    assert (kind, part) in {(s["kind"], text[s["start"] : s["end"]]) for s in row.spans if not s["base"]}
+    base = {(s["kind"], s["start"], s["end"]) for s in row.spans if s["base"]}
+    assert base == set(pii.plain(text))
+
+
+def test_sentences_with_numbers_are_no_identifiers(spark):
+    texts = ["We saw one, two. Three came at noon, four at example.", "one two three four five", "Version 1.2 (see 3). Dot and at.", "a.b [.] c 1 [.] x"]
+    assert all(not r.spans for r in pii.find(documents(spark, list(enumerate(texts)))).collect())
