@@ -13,7 +13,7 @@ WHITESPACE = (
     " \t\n\r\x0b\f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-ROOT_PATTERN = r"^([A-Za-z]:)?/$"
+ROOT_PATTERN = r"^(?:(?:[A-Za-z]:)?/|//[^/]+(?:/[^/]+)?)$"
 
 # Folders below which an executable counts as an application.
 APPLICATION_FOLDERS = (
@@ -92,8 +92,8 @@ def parent_path(p: Column) -> Column:
 
 
 def volume_of(p: Column) -> Column:
-    """Drive (``c:``) or, for drive-less paths, the first component (mount point), lower case."""
-    return F.lower(F.regexp_extract(p, r"^([A-Za-z]:|/[^/]*)", 1))
+    """Drive (``c:``), share (``//server/share``) or, for other paths, the first component (mount point), lower case."""
+    return F.lower(F.regexp_extract(p, r"^([A-Za-z]:|//[^/]+(?:/[^/]+)?|/[^/]*)", 1))
 
 
 def extension(name: Column) -> Column:
@@ -102,13 +102,14 @@ def extension(name: Column) -> Column:
 
 
 def ancestors(p: Column) -> Column:
-    """Proper directory prefixes below the root, shortest first."""
+    """Proper directory prefixes below the root, shortest first; of a share from ``//server/share`` on."""
     parts = F.split(p, "/")
     n = F.size(parts)
+    first = F.when(p.startswith("//"), 4).otherwise(2)
     return F.when(
-        n > 2,
+        n > first,
         F.transform(
-            F.sequence(F.lit(2), n - 1),
+            F.sequence(first, n - 1),
             lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
         ),
     ).otherwise(F.array().cast("array<string>"))

@@ -175,3 +175,17 @@ def test_item_score(spark):
 def test_masks():
     assert DELETE_MASK == 0x1200
     assert UPSERT_MASK == 0x1 | 0x2 | 0x4 | 0x10 | 0x20 | 0x40 | 0x100 | 0x8000 | 0x2000
+
+
+def test_shares_are_volumes_and_roots(spark):
+    rows = ["\\\\server\\share\\a\\b.txt", "//Server/Share", "//server/share/x/", "//server", "/vol/a/b", "C:/x/y"]
+    n = P.norm_path(F.col("p"))
+    got = spark.createDataFrame([(x,) for x in rows], "p string").select(n, P.volume_of(n), P.parent_path(n), P.ancestors(n), P.is_root(n)).collect()
+    assert [tuple(r) for r in got] == [
+        ("//server/share/a/b.txt", "//server/share", "//server/share/a", ["//server/share", "//server/share/a"], False),
+        ("//Server/Share", "//server/share", "", [], True),
+        ("//server/share/x", "//server/share", "//server/share", ["//server/share"], False),
+        ("//server", "//server", "", [], True),
+        ("/vol/a/b", "/vol", "/vol/a", ["/vol", "/vol/a"], False),
+        ("C:/x/y", "c:", "C:/x", ["C:/x"], False),
+    ]
