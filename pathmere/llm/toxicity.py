@@ -3,15 +3,19 @@
 Features of a text are its distinct lower-cased words and their 5- and 7-byte prefixes, hashed to
 2**18 weights. Training is online (FTRL-proximal, L1 keeps few weights) over a bounded sample of
 labelled rows: at most ``max_toxic`` toxic and ``max_clean`` other rows, those with the least
-hash of doc_id; the intercept is shifted back to the label shares of all labelled rows. Where a
-labelled text mentions a group (``IDENTITY_TERMS``), the same text with each term swapped for
-another of its kind is a counterfactual: the squared difference of both scores is a penalty, so
-the weight that a neutral mention of a group could gain is taken from it and its like.
+hash of doc_id; the intercept is shifted back to the label shares of all labelled rows.
+
+Every sampled text has a counterfactual. Where it mentions a group (``IDENTITY_TERMS``), it is the
+same text with each term swapped for another of its kind. Any other text is given a mention (a
+term picked by its doc_id, put behind it) and the same mention swapped; every second epoch learns
+the label from the text with the mention, so both labels are seen with all groups. The squared
+difference of the scores of both versions, and of a text with and without the mention it was
+given, is a penalty: the weight that a neutral mention could gain is taken from it and its like.
 
 Scoring is one narrow pass: the text column alone goes to Python, where all words of a slice are
 hashed and looked up as arrays.
 
-Defined cases: null and empty texts score by the intercept; rows without a label, or whose label
+Defined cases: repeated rows of a doc_id are each learned from; null and empty texts score by the intercept; rows without a label, or whose label
 is not 0 or 1, are not learned from; if a doc_id has several labels, toxic wins; without toxic
 labels all scores stay under 0.5; other columns pass through untouched.
 """
@@ -19,12 +23,12 @@ labels all scores stay under 0.5; other columns pass through untouched.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +85,11 @@ def _swapper(terms=IDENTITY_TERMS):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int, max_clean: int) -> tuple[list, dict[int, int]]:
-    """The bounded sample as (toxic, features, counterfactual features or None), and counts of all usable labels."""
+    """The bounded sample as (toxic, features, own, other, given), and counts of all usable labels.
+
+    ``own`` are the features of the mention that swapping takes away, ``other`` those it brings;
+    ``given`` says that the text itself has no mention, so ``own`` are not among its features.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -93,25 +101,40 @@ def labelled(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int,
         swap = _swapper()
         for batch in batches:
             texts = [x or "" for x in batch.column(2).to_pylist()]
-            swapped = [None if (s := swap(t)) == t else s for t in texts]
-            sides = []
-            for side in (texts, [s or "" for s in swapped]):
-                f, at = features(pa.array(side, pa.string()))
-                key = np.unique(at << WEIGHT_BITS | f)
-                cut = np.searchsorted(key >> WEIGHT_BITS, np.arange(len(side) + 1))
-                flat = pa.array((key & ((1 << WEIGHT_BITS) - 1)).astype(np.int32))
-                sides.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), flat))
-            sides[1] = pc.if_else(pa.array([s is not None for s in swapped]), sides[1], None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides], names=["doc_id", "toxic", "x", "swapped"])
-
-    found = map_arrow(sample.join(rows, "doc_id").select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, x array<int>, swapped array<int>")
+            swapped = [swap(t) for t in texts]
+            given = [s == t for s, t in zip(swapped, texts)]
+            mentions = [mention(i) if g else ("", "") for i, g in zip(batch.column(0).to_pylist(), given)]
+            x, y = _sets(texts), _sets(["" if g else s for g, s in zip(given, swapped)])
+            one, two = _sets([m[0] for m in mentions]), _sets([m[1] for m in mentions])
+            own = [np.setdiff1d(b if g else a, a if g else c) for g, a, b, c in zip(given, x, one, y)]
+            other = [np.setdiff1d(b if g else c, a) for g, a, b, c in zip(given, x, two, y)]
+            lists = [pa.array(side, pa.list_(pa.int32())) for side in (x, own, other)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(given)], names=["doc_id", "toxic", "x", "own", "other", "given"])
+
+    found = map_arrow(sample.join(rows, "doc_id").select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, x array<int>, own array<int>, other array<int>, given boolean")
     table = found.toArrow().sort_by("doc_id")
-    as_array = lambda c: None if not c.is_valid else c.values.to_numpy()
-    return [(t.as_py(), as_array(x), as_array(s)) for t, x, s in zip(table["toxic"], table["x"], table["swapped"])], counts
+    sides = [[v.values.to_numpy() for v in table[name]] for name in ("x", "own", "other")]
+    return list(zip(table["toxic"].to_pylist(), *sides, table["given"].to_pylist())), counts
+
+
+def mention(doc_id: int) -> tuple[str, str]:
+    """A group term for a text without one, and another of its kind."""
+    draw = zlib.crc32(str(doc_id).encode())
+    kind = IDENTITY_TERMS[draw % len(IDENTITY_TERMS)]
+    at = draw // len(IDENTITY_TERMS) % len(kind)
+    return kind[at], kind[(at + 1) % len(kind)]
+
+
+def _sets(texts: list[str]) -> list[np.ndarray]:
+    """Distinct features of each text, in order."""
+    f, at = features(pa.array(texts, pa.string()))
+    key = np.unique(at << WEIGHT_BITS | f)
+    cut = np.searchsorted(key >> WEIGHT_BITS, np.arange(1, len(texts)))
+    return np.split((key & ((1 << WEIGHT_BITS) - 1)).astype(np.int32), cut)
 
 
 def fit(rows: list, counts: dict[int, int], epochs: int = 10, rate: float = 1.0, l1: float = 5.0, l2: float = 1.0, fairness: float = 4.0, seed: int = 0) -> Model:
-    """FTRL-proximal over the sample; ``fairness`` weighs the squared change under swapped terms."""
+    """FTRL-proximal over the sample; ``fairness`` weighs the squared changes of counterfactuals."""
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if not n1 or not rows:
         return Model(float(np.log((n1 + 0.5) / (n0 + 1))))
@@ -126,23 +149,30 @@ def fit(rows: list, counts: dict[int, int], epochs: int = 10, rate: float = 1.0,
         z[i] += g - (np.sqrt(n[i] + square) - np.sqrt(n[i])) / rate * w
         n[i] += square
 
+    def draw_together(minuend: np.ndarray, subtrahend: np.ndarray) -> None:
+        """A step against the squared difference of the weights of both sides."""
+        a, b = weights(minuend), weights(subtrahend)
+        pull = np.clip(2 * fairness * (a.sum() - b.sum()), -2, 2)
+        if pull:
+            step(minuend, a, pull)
+            step(subtrahend, b, -pull)
+
     sampled = {t: sum(r[0] == t for r in rows) for t in (0, 1)}
     bias, bias_n = 0.0, 0.0
-    order = np.random.default_rng(seed)
-    for _ in range(epochs):
+    order, nothing = np.random.default_rng(seed), np.empty(0, np.int32)
+    for epoch in range(epochs):
         for k in order.permutation(len(rows)):
-            toxic, x, swapped = rows[k]
+            toxic, x, own, other, given = rows[k]
+            if given and epoch % 2:
+                x = np.concatenate([x, own])
             w = weights(x)
             g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - toxic
             bias_n += g * g
             bias -= rate * g / (1 + np.sqrt(bias_n))
             step(x, w, g)
-            if swapped is not None:
-                gone, new = np.setdiff1d(x, swapped), np.setdiff1d(swapped, x)
-                a, b = weights(gone), weights(new)
-                pull = np.clip(2 * fairness * (a.sum() - b.sum()), -2, 2)
-                step(gone, a, pull)
-                step(new, b, -pull)
+            draw_together(own, other)
+            if given:
+                draw_together(own, nothing)
     everything = weights(np.arange(size))
     some = np.flatnonzero(everything)
     if sampled[0] and sampled[1] and n0:

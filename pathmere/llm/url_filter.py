@@ -40,6 +40,21 @@ WANTED = (
     "others", "whether", "together", "anthology", "this-and-that", "roadside", "understanding", "ancient-lands", "handbooks", "tides", "stories", "authors", "month-in-review",
     "kitchen", "energy", "green-valley", "pathfinder", "film-editing", "alphabet", "better-health", "tabletop", "addresses", "loads", "roads", "spartan",
 )
+#: Paths by verdict; each comes with the same neutral hosts, so only the path can decide.
+UNWANTED_PATHS = (
+    "casino/bonus", "casino-games/slots", "online-casino", "poker/free-chips", "slots/jackpot", "bet/live-odds", "sports-betting/odds", "lotto/winners", "gambling/roulette",
+    "pills/buy-cheap", "buy-pills-online", "cheap-viagra", "viagra/order", "cialis/no-prescription", "weight-loss/pills", "porn/videos", "xxx/gallery", "adult/cams", "sex/chat-live",
+    "ads/click", "adserver/banner", "click/track", "tracking/pixel.gif", "banner-ads/728", "spam/offer", "free-gift-cards", "win-prizes/claim", "free-iphone/claim", "payday-loan/apply",
+    "replica-watches/sale", "warez/download", "crack/keygen", "keygen-serial/free", "torrent/warez", "crypto-doubler/send", "get-rich/now",
+)
+WANTED_PATHS = (
+    "about/team", "contact", "news/politics", "articles/climate", "blog/cooking-pasta", "docs/install", "docs/api/reference", "library/catalogue", "recipes/bread", "science/physics",
+    "history/rome", "sports/football-results", "travel/norway", "music/classical", "wiki/mountains", "courses/algebra", "events/calendar", "weather/today", "books/reviews", "museum/visits",
+    "garden/tulips", "health/exercise", "education/schools", "articles/addresses", "wiki/bettina", "docs/tracker-setup", "photos/islands", "research/papers", "help/faq", "products/chairs",
+    "jobs/open", "press/releases", "stories/winter", "guides/cycling", "forum/questions", "archive/letters",
+    "", "en/17", "en/2304", "de/51/", "de/1206", "fr/388.html", "fr/9", "es/6420", "es/73", "page/12", "2021/05/14", "index.html",
+)
+NEUTRAL_HOSTS = ("http://www.maple-street.example.com/", "https://oakfield.example.org/", "https://blog.riverbend.example.net/", "http://home.stonebridge.example.com/")
 _HOSTS = ("http://www.{}.example.com/", "https://{}.example.org/", "https://blog.{}.example.net/", "http://m.{}.example.com/", "https://{}.com/")
 _PATHS = ("en/{}", "de/{}/", "fr/{}.html", "es/{}", "")
 
@@ -66,28 +81,33 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def features(host: Column, path: Column, dimensions: int = DIMENSIONS) -> Column:
     """Distinct slots of the n-grams of "^host$" and "^path$"."""
 
-    def grams(text: Column, tag: str) -> list[Column]:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
-        return [
-            F.when(
-                F.length(whole) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(whole) - n + 1), lambda i: F.pmod(F.xxhash64(F.lit(tag), whole.substr(i, F.lit(n))), F.lit(dimensions)).cast("int")),  # noqa: B023
-            ).otherwise(F.array().cast("array<int>"))
-            for n in GRAMS
-        ]
+    def grams(text: Column, tag: str) -> Column:
+        # characters by position, bound once: a substring would walk a long text from its start each time
+        letters = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+        slot = lambda c, i, n: F.pmod(F.xxhash64(F.lit(tag), F.concat(*[F.get(c, i + k) for k in range(n)])), F.lit(dimensions)).cast("int")
+
+        def of(c: Column) -> Column:
+            runs = [
+                F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: slot(c, i, n))).otherwise(F.array().cast("array<int>"))  # noqa: B023
+                for n in GRAMS
+            ]
+            return F.concat(*runs)
+
+        return F.get(F.transform(F.array(letters), of), F.lit(0))
 
-    return F.array_distinct(F.flatten(F.array(*grams(host, "host"), *grams(path, "path"))))
+    return F.array_distinct(F.concat(grams(host, "host"), grams(path, "path")))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The table above as ``(url, label)``: label 1 is to be blocked."""
+    """The tables above as ``(url, label)``: label 1 is to be blocked."""
     words = spark.createDataFrame([(w, label) for label, group in ((1, UNWANTED), (0, WANTED)) for w in group], "word string, label int")
     at = F.xxhash64("word")
     urls = F.transform(
         F.array(*map(F.lit, _HOSTS)),
         lambda host, i: F.concat(F.replace(host, F.lit("{}"), F.col("word")), F.replace(F.get(F.array(*map(F.lit, _PATHS)), F.pmod(at + i, F.lit(len(_PATHS))).cast("int")), F.lit("{}"), F.pmod(at, F.lit(9973)).cast("string"))),
     )
-    return words.select(F.explode(urls).alias("url"), "label")
+    paths = spark.createDataFrame([(h + p, label) for label, group in ((1, UNWANTED_PATHS), (0, WANTED_PATHS)) for p in group for h in NEUTRAL_HOSTS], "url string, label int")
+    return words.select(F.explode(urls).alias("url"), "label").unionByName(paths)
 
 
 @dataclass(frozen=True)

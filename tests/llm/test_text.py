@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -185,6 +187,46 @@ def test_swapped_terms_lower_false_positives(spark):
     assert rate(8.0) < 0.7 * rate(0.0)
 
 
+def test_mentions_hardly_move_the_scores_of_the_query(spark, sf_dir):
+    """The query's own sample: a mention given to clean texts may not move the score; without penalty it does."""
+    sf = sf_dir.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    sample, counts = toxicity.labelled(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0, 4000, 8000)
+    assert len(sample) > 200 and np.mean([given and len(own) and len(other) for *_, own, other, given in sample]) > 0.95
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    terms = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
+
+    def shift(fairness):
+        model = toxicity.fit(sample, counts, l1=0.05, fairness=fairness)
+        logit = lambda rows: np.log(s := toxicity.scores(pa.array(rows), model)) - np.log1p(-s)
+        plain = logit(texts)
+        return max(np.abs(logit([f"{x} {t}" for x in texts]) - plain).max() for t in terms)
+
+    assert shift(4.0) < 0.25 and shift(4.0) < 0.5 * shift(0.0)
+
+
+def test_scores_equal_a_plain_sum(spark, sf_dir):
+    texts = [t or "" for _, t in odd_texts()] + [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(-0.3, np.arange(0, 1 << toxicity.WEIGHT_BITS, 3), rng.normal(0, 0.05, len(range(0, 1 << toxicity.WEIGHT_BITS, 3))).astype(np.float32))
+    table = dict(zip(model.features.tolist(), model.weights.tolist()))
+    want = []
+    for text in texts:
+        found = set()
+        for word in set(re.findall(rb"[a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode()))):
+            found.update(toxicity.features(pa.array([word.decode()]))[0].tolist())
+        want.append(1 / (1 + np.exp(-np.clip(model.bias + sum(table.get(f, 0.0) for f in found), -30, 30))))
+    assert np.allclose(toxicity.scores(pa.array(texts), model), want, atol=1e-6)
+
+
+def test_toxicity_repeated_rows_and_clashing_names(spark):
+    rows = [(i % 40, ("vile idiot " if i % 40 < 10 else "kind garden ") + f"w{i % 7}") for i in range(80)]
+    docs = documents(spark, rows).withColumns({"score": F.lit("x"), "row": F.lit(1), "toxic": F.lit("y")})
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, toxic int")
+    left = toxicity.drop_toxic(docs, labels)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, _ in rows if i >= 10)
+
+
 @pytest.mark.parametrize("labels", [[], [(4, 0), (5, 0)], [(4, 1), (4, None), (None, 1), (8, 0), (9, 2)]])
 def test_toxicity_odd_input(spark, labels):
     docs = documents(spark, odd_texts())
@@ -214,6 +256,31 @@ def test_url_classifier_learns_unseen_hosts(spark):
     assert all((r.verdict == "block") == bool(r.row.y) for r in got)
 
 
+def test_url_classifier_learns_from_paths_on_neutral_hosts(spark):
+    told = [("casino/free-spins", 1), ("cheap-pills/order", 1), ("xxx/videos", 1), ("keygen/warez", 1), ("ads/banner", 1), ("recipes/soup", 0), ("docs/reference", 0), ("history/athens", 0), ("en/1234", 0)]
+    hosts = ("http://www.maple-street.example.com/", "https://willowbrook.example.org/")
+    rows = spark.createDataFrame([(h + p, y) for p, y in told for h in hosts], "url string, y int")
+    got = url_filter.judged(rows, url_filter.train(url_filter.labelled_urls(spark)), rules=(("zz/", "block"),)).collect()
+    assert [r.row.url for r in got if (r.verdict == "block") != bool(r.row.y)] == []
+
+
+def test_url_parts_and_rules_equal_sql(spark, sf_dir):
+    """Host, path, rule and the verdict of the rule, of all pages and of odd, long and repeated URLs."""
+    odd = [None, "", "x", "a://B.Com", "a://com/en/?x", "s://Example.COM/en/1#f", "s://www.example.com/en/", "s://x.net/fr/", "q://y/?://net/es/", "h://net/es/" + "z" * 200_000, "h://net/es/" + "z" * 200_000]
+    url = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url").unionByName(spark.createDataFrame([(u,) for u in odd], "url string")).withColumn("host", F.lit(0))
+    got = url_filter.judged(url, url_filter.Model(-1.0, (0.0,) * 8)).select("row.url", "host", "path", "rule", "verdict").toPandas()
+    con = duckdb.connect()
+    con.register("u", pd.DataFrame({"url": got.url}))
+    fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h + p}'" for h, p in (("www.example.com", "/en/"), ("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"), ("com", "/")))
+    want = con.execute(f"""
+        with rests as (select url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end rest from u),
+        parts as (select url, lower(regexp_extract(rest, '^[^/?#]*')) host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rests),
+        ruled as (select *, case {fits} end as rule from parts)
+        select *, case when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' else 'allow' end verdict from ruled""").df()
+    key = lambda frame: sorted(map(str, frame[["url", "host", "path", "rule", "verdict"]].astype(object).where(lambda f: f.notna(), None).itertuples(index=False)))
+    assert key(got) == key(want)
+
+
 def test_budgets_share_shortages_among_siblings_first():
     tree = {"a": (0.5, {"x": (0.5, {}), "y": (0.5, {})}), "b": (0.5, {"z": (1.0, {})})}
     assert mixing.budgets(tree, {("a", "x"): 10, ("a", "y"): 1000, ("b", "z"): 1000}, 400) == {("a", "x"): 10, ("a", "y"): 190, ("b", "z"): 200}
