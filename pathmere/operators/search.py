@@ -20,6 +20,10 @@ from pathmere.session import filter_once
 
 DEFAULT_LIMIT = 50
 PAGE_SIZE = 50
+#: The first keys of the rank order need neither usage nor pins.
+FIXED_KEYS = 5
+#: Largest rank that Spark cuts before the shuffle of a window (its default threshold).
+GROUP_LIMIT = 1000
 
 REQUEST_SCHEMA = (
     "query_id long, terms array<string>, phrases array<string>, path_terms array<string>, "
@@ -143,14 +147,21 @@ def with_tie_breakers(
     usage: DataFrame | None,
     pinned: DataFrame | None,
     as_of: Column,
+    best: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Add root priority, application flag, pin, open count and recency."""
+    """Add root priority, application flag, pin, open count and recency.
+
+    With ``best`` only rows that can be among the best of each ``by`` group meet usage and pins.
+    """
     out = matched.withColumns(
         {
             "root_priority": S.root_priority(F.col("parent_key"), preferred_root),
             "is_app": P.is_application(F.col("full_path"), F.col("is_directory")),
         }
     )
+    if best is not None and not (usage is None and pinned is None):
+        out = contenders(out, best, by)
     if usage is None:
         out = out.withColumns({"open_count": F.lit(0).cast("long"), "recency": F.lit(0.0)})
     else:
@@ -170,6 +181,19 @@ def with_tie_breakers(
     return flagged.withColumn("is_pinned", pin).drop("_pin")
 
 
+def contenders(rows: DataFrame, best: int, by: Sequence[str] = ()) -> DataFrame:
+    """Rows that the part of the rank order known before usage leaves among the first ``best``.
+
+    Each input partition is cut on its own, where it lies, and keeps all ties of its last place:
+    a row of the final top has fewer than ``best`` rows before it in its partition, too.
+    """
+    if best > GROUP_LIMIT:
+        return rows
+    place = F.rank().over(Window.partitionBy("_slice", *by).orderBy(*rank_order()[:FIXED_KEYS]))
+    placed = rows.withColumn("_slice", F.spark_partition_id()).withColumn("_place", place)
+    return placed.where(F.col("_place") <= best).drop("_slice", "_place")
+
+
 def pinned_keys(pinned: DataFrame) -> DataFrame:
     return (
         pinned.select(P.path_key(P.norm_path(F.col("path"))).alias("path_key"))
@@ -200,7 +224,7 @@ def search(
     as_of = _as_of(usage, as_of)
     ready = with_tie_breakers(
         matches(catalog, request), F.lit(request.has_text), F.lit(request.preferred_root).cast("string"),
-        usage, pinned, as_of,
+        usage, pinned, as_of, request.limit if request.has_text else None,
     )
     top = ready.orderBy(*rank_order()).limit(request.limit)
     # only ``limit`` rows reach this window
@@ -242,23 +266,30 @@ def chars_without_blanks(text: Column) -> Column:
 
 
 def request_join_key(requests: DataFrame) -> DataFrame:
-    """One equi-join key per request that every matching row is certain to carry.
+    """Equi-join keys of each request: every matching row is certain to carry one, and only one.
 
     A text hit needs every character of the text in some form of the name, so the rarest
-    character is a safe key; text with separators and path terms are keyed on the path, a
-    single wanted extension on the extension. Only pure filters fall back to the key '*'.
+    character is a safe key; text with separators and path terms are keyed on the path. Pure
+    filters are keyed on their extensions (a row has one), on applications or on the kind. Only
+    a request that names none of these, whose result is nearly every row, has the key '*'.
     """
     parts = F.concat("phrases", "terms")
     plain = F.filter(parts, lambda t: ~t.rlike(r"[\\/]"))
     pathlike = F.concat(F.filter(parts, lambda t: t.rlike(r"[\\/]")), F.col("path_terms"))
-    last_ext = F.substring_index(F.get("include_ext", F.lit(0)), ".", -1)
-    key = F.coalesce(
+    last = lambda names: F.array_distinct(F.transform(names, lambda e: F.concat(F.lit("x:"), F.substring_index(e, ".", -1))))
+    single = F.coalesce(
         F.concat(F.lit("n:"), _rarest_char(F.array_join(plain, ""))),
         F.concat(F.lit("p:"), _rarest_char(F.array_join(pathlike, ""))),
-        F.when(F.size("include_ext") == 1, F.concat(F.lit("x:"), last_ext)),
-        F.lit("*"),
     )
-    return requests.withColumn("_key_char", key)
+    keys = (
+        F.when(single.isNotNull(), F.array(single))
+        .when(F.size("required_ext") > 0, last(F.col("required_ext")))
+        .when(F.size("include_ext") > 0, last(F.col("include_ext")))
+        .when(F.col("apps_only"), F.array(F.lit("app")))
+        .when(F.col("kind") != "any", F.array(F.concat(F.lit("k:"), "kind")))
+        .otherwise(F.array(F.lit("*")))
+    )
+    return requests.withColumn("_key_char", F.explode(keys))
 
 
 def row_join_keys() -> Column:
@@ -269,7 +300,12 @@ def row_join_keys() -> Column:
     return F.concat(
         tag(name_text(), "n:"),
         tag(F.col("path_key"), "p:"),
-        F.array(F.concat(F.lit("x:"), F.col("ext")), F.lit("*")),
+        F.array(
+            F.concat(F.lit("x:"), F.col("ext")),
+            F.when(P.is_application(F.col("full_path"), F.col("is_directory")), F.lit("app")),
+            F.when(F.col("is_directory"), F.lit("k:folders")).otherwise(F.lit("k:files")),
+            F.lit("*"),
+        ),
     )
 
 
@@ -344,8 +380,8 @@ def search_many(
             for name, default in _filter_only_columns().items()
         }
     )
-    ready = with_tie_breakers(scored, has_text, F.col("preferred_root"), usage, pinned, as_of)
     widest = requests.agg(F.max("limit")).first()[0] or 0
+    ready = with_tie_breakers(scored, has_text, F.col("preferred_root"), usage, pinned, as_of, widest, ["query_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*rank_order()))
     return (
         ready.withColumn("rank", rank)

@@ -99,6 +99,40 @@ def test_batch_search_equals_single_search(spark):
     assert all(R.search(cat, r).limit(1).count() for r in requests.values())
 
 
+def test_pure_filter_requests_are_keyed_once(spark):
+    cat = make_catalog(spark, "/a/x.txt", "/a/.txt", "/a/d.txt/", "/a/b.tar.gz", "/a/c.md", "/a/run.lnk", "/a/e/")
+    requests = {
+        1: R.SearchRequest(include_ext=["txt", "tar.gz", "gz"]), 2: R.SearchRequest(required_ext=["md", "txt"]), 3: R.SearchRequest(kind="folders"),
+        4: R.SearchRequest(apps_only=True), 5: R.SearchRequest(kind="files", exclude_ext=["md"]), 6: R.SearchRequest(),
+    }
+    keys = R.request_join_key(R.request_table(spark, requests)).groupBy("query_id").agg(F.sort_array(F.collect_list("_key_char")).alias("k"))
+    assert {r.query_id: r.k for r in keys.collect()} == {1: ["x:gz", "x:txt"], 2: ["x:md", "x:txt"], 3: ["k:folders"], 4: ["app"], 5: ["k:files"], 6: ["*"]}
+    batch = R.search_many(cat, R.request_table(spark, requests)).collect()
+    for i, request in requests.items():
+        want = [(r.rank, r.path_key) for r in R.search(cat, request).orderBy("rank").collect()]
+        assert want and sorted((r.rank, r.path_key) for r in batch if r.query_id == i) == want
+
+
+def test_usage_meets_only_contenders(spark):
+    """Many ties in the fixed keys over several partitions: the cut before usage changes nothing."""
+    rng = random.Random(5)
+    paths = [f"/r/{'ab'[i % 2]}{i}/tool{rng.choice(['', '', 's', '-x'])}{i % 3}.txt" for i in range(400)]
+    cat = make_catalog(spark, *paths).repartition(7)
+    usage = spark.createDataFrame([(p.lower(), rng.randrange(4), datetime(2024, 1, 1 + rng.randrange(25))) for p in rng.sample(paths, 150)], "path_key string, open_count int, last_used_at timestamp")
+    as_of = F.lit(datetime(2024, 2, 1))
+    request = R.SearchRequest(terms=["tool"], limit=9)
+    found = R.search(cat, request, usage, None, as_of)
+    whole = R.with_tie_breakers(R.matches(cat, request), F.lit(True), F.lit(None).cast("string"), usage, None, as_of)
+    want = [r.path_key for r in whole.orderBy(*R.rank_order()).limit(9).collect()]
+    assert [r.path_key for r in found.orderBy("rank").collect()] == want
+    many = R.search_many(cat, R.request_table(spark, {1: request, 2: R.SearchRequest(terms=["tools"], limit=4)}), usage, None, as_of)
+    assert [r.path_key for r in many.where("query_id = 1").orderBy("rank").collect()] == want
+    for result in (found, many):
+        plan = result._jdf.queryExecution().sparkPlan().toString().splitlines()
+        at = lambda mark: [i for i, line in enumerate(plan) if mark in line]
+        assert max(at("WindowGroupLimit")) > max(i for i in at("Join") if "path_key" in plan[i])
+
+
 def test_placeholders_and_duplicates(spark):
     cat = make_catalog(spark, "/a/b/c.txt", "/A/B/C.TXT", "/a/b/").collect()
     rows = {r.path_key: (r.full_path, r.file_reference, r.structural, r.is_directory) for r in cat}
