@@ -196,13 +196,14 @@ def test_mentions_hardly_move_the_scores_of_the_query(spark, sf_dir):
     texts = [r.text or "" for r in docs.limit(60).collect()]
     terms = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
 
-    def shift(fairness):
-        model = toxicity.fit(sample, counts, l1=0.05, fairness=fairness)
+    def shift(fairness, **other):
+        model = toxicity.fit(sample, counts, fairness=fairness, **other)
         logit = lambda rows: np.log(s := toxicity.scores(pa.array(rows), model)) - np.log1p(-s)
         plain = logit(texts)
         return max(np.abs(logit([f"{x} {t}" for x in texts]) - plain).max() for t in terms)
 
-    assert shift(4.0) < 0.25 and shift(4.0) < 0.5 * shift(0.0)
+    assert shift(4.0) < 0.25  # the query's parameters
+    assert shift(4.0, l1=0.05) < 0.25 and shift(4.0, l1=0.05) < 0.5 * shift(0.0, l1=0.05)
 
 
 def test_scores_equal_a_plain_sum(spark, sf_dir):
