@@ -273,3 +273,32 @@ def test_ranks_are_proved_in_skewed_groups(spark):
         values = sorted(v for k, v in rows if k == key)
         at = lambda f: values[max(-(-int(f * 1000) * len(values) // 1000), 1) - 1]  # noqa: B023, E731
         assert (got[key].n, got[key].p95, got[key].p10) == (len(values), at(0.95), at(0.1)), key
+
+
+@pytest.mark.parametrize("few, cells", [(1, 16), (50, 32)])
+def test_ranks_by_many_rounds(spark, few, cells):
+    """Small histograms force many rounds; ties, heavy tails, integers beyond 53 bits, empty groups."""
+    rng = random.Random(few)
+    rows = [("tail", 10.0 ** rng.randrange(-300, 300)) for _ in range(400)] + [("ties", float(rng.choice([1, 1, 1, 2, 2, 3]))) for _ in range(300)]
+    rows += [("even", float(i)) for i in range(500)] + [("nan", rng.choice([float("nan"), 1.0, 2.0])) for _ in range(60)] + [("none", None), ("one", -1.0)]
+    ranks = {f"p{k}": metrics.nearest_rank(k / 100) for k in (1, 50, 99)}
+    got = {r.k: r for r in metrics.values_at_ranks(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", ranks, few, cells).collect()}
+    assert set(got) == {"tail", "ties", "even", "nan", "one"}
+    for key, row in got.items():
+        values = sorted((v for k, v in rows if k == key), key=lambda v: (v != v, v))
+        assert [repr(row[f"p{k}"]) for k in (1, 50, 99)] == [repr(values[max(-(-k * len(values) // 100), 1) - 1]) for k in (1, 50, 99)], key
+    large = spark.range(200).select(F.lit("g").alias("k"), (F.col("id") * 3 + 2**61).alias("v"))
+    assert metrics.values_at_ranks(large, ["k"], "v", {"m": metrics.nearest_rank(0.5)}, few, cells).first().m == 2**61 + 99 * 3
+
+
+@pytest.mark.parametrize("n", [5_000, 100_000])
+def test_brackets_end_small(spark, n):
+    """What meets in the window of a rank does not grow with the group."""
+    rows = spark.range(n).select(F.lit("g").alias("k"), F.hash("id").alias("_v"))
+    ranks = {"p50": metrics.nearest_rank(0.5), "p95": metrics.nearest_rank(0.95)}
+    state = metrics.rank_brackets(rows, ["k"], ranks, few=100, cells=32).first()
+    values = sorted(r._v for r in rows.collect())
+    for name, share in (("p50", 50), ("p95", 95)):
+        bracket = state[name]
+        assert bracket.inside <= 100 and not bracket.stuck
+        assert bracket.lo <= values[-(-share * n // 100) - 1] <= bracket.hi
