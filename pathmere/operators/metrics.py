@@ -12,7 +12,7 @@ FLOOR = 1e-9
 
 
 #: Values that may still differ when the rounds of a rank end; so many rows meet in one window.
-FEW = 10_000
+FEW = 100_000
 #: Cells of the histogram of one round: each round keeps about three of them.
 CELLS = 256
 
