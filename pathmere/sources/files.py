@@ -72,7 +72,7 @@ def _wide(content: Column, offset: int) -> Column:
     pairs = F.least(F.floor(F.length(content) / 2), F.lit(128))
     whole = F.substring(_latin(content, 256), F.lit(1), (pairs * 2).cast("int"))
     zeros = F.regexp_count(F.regexp_replace(whole, r"(?s)(.)(.)", f"${offset + 1}"), F.lit(r"\x00"))
-    return (F.length(content) >= 4) & (zeros >= F.floor(pairs * 3 / 4))
+    return (F.length(content) >= 4) & (zeros * 4 >= pairs * 3)
 
 
 def decode_text(content: Column | str) -> Column:
@@ -100,7 +100,7 @@ def _decode(data: bytes | None) -> str | None:
             return data[len(mark) // 2 :].decode(name, "replace")
     pairs = min(len(data) // 2, 128)
     for name, offset in (("utf-16-le", 1), ("utf-16-be", 0)):
-        if len(data) >= 4 and data[offset : pairs * 2 : 2].count(0) >= pairs * 3 // 4:
+        if len(data) >= 4 and data[offset : pairs * 2 : 2].count(0) * 4 >= pairs * 3:
             return data.decode(name, "replace")
     return data.decode("gbk", "replace")
 
