@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathmere.functions.alias import HAN, alias_need
 from pathmere.functions.formats import with_format_info
+from pathmere.functions.paths import volume_of
 
 
 def _metric(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -14,8 +15,12 @@ def _metric(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def corpus_profile(catalog: DataFrame) -> DataFrame:
-    """(metric, value) rows: directories, references, extra hard links, repeated and Han names."""
-    refs = catalog.where("file_reference <> 0").groupBy("file_reference").agg(F.count("*").alias("n"))
+    """(metric, value) rows: directories, references, extra hard links, repeated and Han names.
+
+    A reference names a file of its volume only, so links are counted by volume and reference.
+    """
+    volume = volume_of(F.col("full_path")).alias("volume")
+    refs = catalog.where("file_reference <> 0").groupBy(volume, "file_reference").agg(F.count("*").alias("n"))
     names = catalog.groupBy(F.lower("name").alias("name_lower")).agg(F.count("*").alias("n"))
     parts = [
         _metric(catalog, "records", F.count("*")),

@@ -3,10 +3,18 @@
 import shutil
 from pathlib import Path
 
+from pathmere.operators import census
 from pathmere.plans import summaries
 from pathmere.sources import files
 
 
+def test_hard_links_are_counted_by_volume(spark):
+    rows = [("/a/x", "x", False, 5), ("/b/x", "x", False, 5), ("/b/y", "y", False, 5), ("c:/z", "z", False, 5), ("/b", "b", True, 0)]
+    found = census.corpus_profile(spark.createDataFrame(rows, "full_path string, name string, is_directory boolean, file_reference long"))
+    got = {r.metric: r.value for r in found.collect()}
+    assert got["extra_hard_links"] == 1 and got["extra_hard_link_rate"] == 0.25 and got["nonzero_references"] == 4
+
+
 def test_one_zero_byte_in_two_pairs_is_no_wide_text(spark):
     rows = [(b"A.\x00A.",), (b"\x00aAbA",), (b"a\x00b\x00",), (b"a\x00b\x00c\x00\xac\x20",), (b"a\x00b\x00\xac\x20\xad\x20",)]
     got = [r[0] for r in spark.createDataFrame(rows, "b binary").select(files.decode_text("b")).collect()]
