@@ -27,7 +27,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard 0.8."""
+    """One document of each group of near copies: SimHash of five-word shingles within two bits, or Jaccard 0.8 of their sets."""
     return similar.drop_similar(docs)
 
 

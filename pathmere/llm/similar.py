@@ -1,11 +1,14 @@
-"""Near-dedup by likeness: documents linked where their sets of five-word shingles have Jaccard 0.8 or more.
+"""Near-dedup by SimHash and by likeness: documents linked by their fingerprints or by sets of five-word shingles with Jaccard 0.8 or more.
 
-A 64-bit SimHash cannot hold this rule: at 0.8 two fingerprints differ in about ten bits. The
-SimHash trie therefore gives one kind of neighbour, and 24 bands of five MinHash values the others
-(a pair at 0.8 shares none with probability (1 - 0.8**5)**24, below 0.0001, a likelier pair less).
-They only choose the sets that may have a partner. Among these the join is exact and by prefix:
-shingles are ordered from rare to frequent, a set is listed under its first ``n - ceil(0.8 n) + 1``
-ones, and two alike sets share one of these, at positions that leave room for their overlap.
+SimHash is a step of its own: every text has a 64-bit fingerprint of its five-word shingles, the binary
+trie joined with itself finds all pairs within the budget of two bits, and each such pair is a link.
+
+Fingerprints differ in about ten bits at Jaccard 0.8, so a second step adds the alike pairs they cannot
+see. 24 bands of five MinHash values choose the sets that may have a partner (a pair at 0.8 shares none
+with probability (1 - 0.8**5)**24, below 0.0001, a likelier pair less). Among these the join is exact
+and by prefix: shingles are ordered from rare to frequent, a set is listed under its first
+``n - ceil(0.8 n) + 1`` ones, and two alike sets share one of these, at positions that leave room for
+their overlap.
 
 Equal sets are one node. First each node of a list is compared with the first one of it; this joins
 dense groups with one comparison for each member. Then pairs of a list that are still in different
@@ -149,14 +152,21 @@ def apart(lists: DataFrame, member: DataFrame, threshold: float, block: int = LI
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
+def by_fingerprint(signed: DataFrame, budget: int = BUDGET, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """``(a, b)`` edges that connect the nodes of ``signed (node, n, fp)`` linked by fingerprints within the budget."""
+    prints = stored(signed.where("n > 0").select("node", "fp").distinct(), "similar-fingerprints")
+    near = components(links(prints.select("fp").distinct(), budget=budget, blocks=blocks)).select(F.col("node").alias("fp"), "component")
+    placed = prints.join(near, "fp", "left").select("node", F.coalesce("component", "fp").alias("c"))
+    least = placed.groupBy("c").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("c", "a")
+    return placed.join(least, "c").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, budget: int = BUDGET, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """``(id, component_id)``, one row per document; a null doc_id is the smallest id."""
     signed = stored(signatures(docs, size), "similar-signatures")
-    nodes = stored(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "similar-nodes")
-    filled = nodes.where("n > 0")
-    near = components(links(filled.select("fp").distinct(), budget=budget, blocks=blocks)).select(F.col("node").alias("fp"), "component")
-    trie = filled.join(near, "fp", "left").select(F.lit(-1).alias("band"), F.coalesce("component", "fp").alias("key"), "node")
-    keys = filled.select(F.posexplode("bands").alias("band", "key"), "node").unionByName(trie)
+    nodes = stored(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "similar-nodes")
+    prints = stored(by_fingerprint(signed, budget, blocks), "similar-prints")
+    keys = nodes.where("n > 0").select(F.posexplode("bands").alias("band", "key"), "node")
     shared = keys.groupBy("band", "key").agg(F.count("*").alias("rows")).where("rows > 1").select("band", "key")
     able = stored(keys.join(shared, ["band", "key"], "left_semi").select("node").distinct(), "similar-able")
     sets = stored(_shingle_sets(docs, nodes.join(able, "node", "left_semi").select("node", "id"), size), "similar-sets")
@@ -166,7 +176,7 @@ def similar_components(docs: DataFrame, size: int = SIZE, threshold: float = THR
     firsts = lists.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("first"))
     stars = lists.join(firsts, "token").where((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
     stars = stored(stars.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct(), "similar-stars")
-    linked = stored(_alike(stars, sets, threshold), "similar-links")
+    linked = stored(_alike(stars, sets, threshold).unionByName(prints), "similar-links")
     pairs = apart(lists, components(linked), threshold).join(stars, ["a", "b"], "left_anti")
     linked = stored(linked.unionByName(_alike(stored(pairs, "similar-pairs"), sets, threshold)), "similar-links")
 
