@@ -492,15 +492,31 @@ def snapshot_fallback(spark, sf):
 
 # --- streams ----------------------------------------------------------------------------
 
+#: Rows of one file of a stream, about.
+FILE_ROWS = 500_000
+
+
 def _stream(spark, df, label, order, files=4):
-    """The rows of a table as a stream of several files in the order of a column, one per micro-batch."""
-    path = scratch_path(use_utc(spark), label)
-    bounds = df.select(F.percentile_approx(order, [k / files for k in range(1, files)], 10_000).alias("q")).first()["q"] or []
-    edges = [None, *bounds, None]
-    for low, high in zip(edges, edges[1:]):
-        part = df if low is None else df.where(c(order) > low)
-        (part if high is None else part.where(c(order) <= high)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), scratch_path(spark, label + "-out")
+    """The rows of a table as a stream in the order of a column, in portions, one per micro-batch.
+
+    The table is computed once. A portion has as many files as its rows ask for, the same number in all.
+    """
+    path, staged = scratch_path(use_utc(spark), label), scratch_path(spark, f"{label}-staged")
+    df.write.parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    bounds = rows.select(F.percentile_approx(order, [k / files for k in range(1, files)], 10_000).alias("q")).first()["q"] or []
+    portion = sum((F.when(c(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    sizes = dict(rows.groupBy(portion.alias("p")).count().collect())
+    counts = [sizes.get(k, 0) for k in range(len(bounds) + 1)]
+    each = _files_each(counts)
+    for k in range(len(counts)):
+        rows.where(portion == k).repartition(each).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path), scratch_path(spark, label + "-out")
+
+
+def _files_each(counts, file_rows=FILE_ROWS):
+    """Files of each portion: about one for ``file_rows``, but so few that none is empty, for an empty one is not written."""
+    return max(1, min(max(counts) // file_rows, min(counts) // 1000))
 
 
 @query(sql_with("select path_key, full_path, open_count, epoch_us(last_used_at) last_used_us from usage"))
