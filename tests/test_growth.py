@@ -59,3 +59,18 @@ def test_gram_index_is_written_without_a_join(spark, tmp_path, monkeypatch):
     rows = spark.read.parquet(f"{tmp_path}/g/postings")
     assert sorted(r.gram for r in rows.where("name_lower = 'bolt'").collect()) == ["bol", "olt"]
     assert dict(map(tuple, spark.read.parquet(f"{tmp_path}/g/counts").select("gram", "names").collect()))["olt"] == 2
+
+
+def test_alias_forms_are_computed_once_and_staged(spark, tmp_path):
+    """Before, a reading was spelled twice for each row, and once more for the ranges of the layout."""
+    from pathmere.functions.alias import latin_reading
+    from pathmere.operators import catalog as K
+
+    names = spark.createDataFrame([("Élève",), ("plain",), ("ъъ",), (None,)], "name string")
+    read = names.select(latin_reading(F.col("name")).alias("r"))
+    assert [r.r for r in read.collect()] == ["eleve", "plain", "ъъ", None]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    records = K.catalog_from(names.where("name is not null"), F.concat(F.lit("/d/"), "name"), F.lit(False), F.lit(1), F.lit("2024-01-01"), F.lit(7))
+    K.write_records(records.withColumn("structural", F.lit(False)), f"{tmp_path}/c", 2)
+    got = {r.name: (r.reading, r.initials, r.search_text, str(r.has_alias).lower()) for r in spark.read.parquet(f"{tmp_path}/c").collect()}
+    assert got == {"Élève": ("eleve", "eleve", "eleve", "true"), "plain": ("plain", "plain", "", "false"), "ъъ": ("ъъ", "ъъ", "", "false")}
