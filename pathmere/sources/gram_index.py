@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathmere.functions.paths import strip
-from pathmere.operators.grams import grams, postings
+from pathmere.operators.grams import grams
 
 #: Rarest grams of a term that are intersected.
 PROBES = 3
@@ -27,7 +27,7 @@ COUNTS = "gram string, names long, version long"
 def _write(rows: DataFrame, folder: str, version: int, files: int | None) -> None:
     """``rows``: name_lower, removed; each gram of each name, and by how much its number of names changes."""
     ranges = files or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = postings(rows).join(rows, "name_lower").select("gram", "name_lower", "removed")
+    listed = rows.select(F.explode(grams(F.col("name_lower"))).alias("gram"), "name_lower", "removed")
     listed.repartitionByRange(ranges, "gram", "name_lower").sortWithinPartitions("gram", "name_lower").write.mode("overwrite").parquet(f"{folder}/postings/version={version}")
     back = rows.sparkSession.read.schema(POSTINGS).parquet(f"{folder}/postings/version={version}")
     change = back.groupBy("gram").agg(F.sum(F.when(F.col("removed"), -1).otherwise(1)).alias("names"))
