@@ -74,3 +74,19 @@ def test_alias_forms_are_computed_once_and_staged(spark, tmp_path):
     K.write_records(records.withColumn("structural", F.lit(False)), f"{tmp_path}/c", 2)
     got = {r.name: (r.reading, r.initials, r.search_text, str(r.has_alias).lower()) for r in spark.read.parquet(f"{tmp_path}/c").collect()}
     assert got == {"Élève": ("eleve", "eleve", "eleve", "true"), "plain": ("plain", "plain", "", "false"), "ъъ": ("ъъ", "ъъ", "", "false")}
+
+
+def test_batch_search_looks_up_many_letters(spark):
+    """Letters beyond the bits of a mask and many join keys lose no row; before, every row listed all its letters."""
+    from pathmere.operators import catalog as K
+    from pathmere.operators import search as R
+
+    marks = [chr(0x4E00 + k) for k in range(90)]
+    names = [(f"/d/{m}{marks[k - 1]}x.txt",) for k, m in enumerate(marks)]
+    catalog = K.build_catalog(K.catalog_from(spark.createDataFrame(names, "p string"), F.col("p"), F.lit(False), F.lit(1), F.lit("2024-01-01"), F.lit(7)), parts=2)
+    requests = R.request_table(spark, {k: R.SearchRequest(terms=[m + marks[k - 1]]) for k, m in enumerate(marks)} | {100: R.SearchRequest(path_terms=["d"], kind="files", limit=99)})
+    found = R.search_many(catalog, requests)
+    got = {(r.query_id, r.full_path) for r in found.collect()}
+    assert got == {(k, n) for k, (n,) in enumerate(names)} | {(100, n) for n, in names}
+    text, letters = F.lit("bolt a"), F.array(F.lit("a"), F.lit("b"), F.lit("z"))
+    assert spark.range(1).select(R.letter_mask(text, letters)).first()[0] == 0b011
