@@ -5,14 +5,17 @@ Lines are alike if the Jaccard likeness of their sets of 8-character shingles is
 shorter line is one shingle), and groups are the connected components of that relation; the first
 line of a group (smallest doc_id, then position) stays.
 
-1. Every slice of documents keeps its distinct lines by 128-bit hash and signs them by MinHash: 30
-   permutations in 10 bands of 3. A pair at 0.8 shares a band with a chance of 0.999. Bands are
-   sorted by key, and a stream over them keeps the keys that two different lines share.
-2. The texts of these lines are fetched in a second pass. A Bloom filter of at most 8 MB keeps most
-   other lines out of the shuffle; it only ever lets too many pass.
-3. Lines of one band are compared exactly by a breadth-first walk: each line reached is compared at
-   once with all lines not reached yet, so a group of near copies costs about one comparison for
-   each line. Bands hold distinct lines only: a line in a third of all documents is there once.
+1. Every batch of documents signs its distinct lines by MinHash: 30 permutations in 10 bands of 3.
+   A pair at 0.8 shares a band with a chance of 0.999. Bands travel by ranges of their keys, many in
+   a row; a task sorts a range and keeps the keys that two different lines share. Each line of such
+   a band meets the band's least line, its leader.
+2. A second pass writes the first place of every line in a batch, and the texts of these lines. A
+   Bloom filter of at most 8 MB keeps most other texts out; it only ever lets too many pass.
+3. Lines of all bands of one leader are compared exactly by a breadth-first walk: each line reached
+   is compared at once with all lines not reached yet, so a group of near copies costs about one
+   comparison for each line. A band is whole in the group of its leader, and near copies, which
+   share most of their bands, meet in one group. Groups hold distinct lines only: a line in a third
+   of all documents is there once.
 4. Components join across bands by distributed union-find, and the first line of each is found by
    ordinary aggregation.
 
@@ -31,15 +34,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathmere.llm.arrow import IS_SPACE, SPACE, byte_sums, map_arrow, mix, raw, slices, span_hashes, spans
+from pathmere.llm.arrow import IS_SPACE, SPACE, byte_sums, map_arrow, mix, powers, raw, slices, span_hashes
 from pathmere.llm.graph import components, stored
 
 SHINGLE, LIKENESS = 8, 0.8
 BANDS, BAND_ROWS = 10, 3
 #: Bits of the Bloom filter that is sent to all tasks, at most: 8 MB.
 FILTER_BITS, PROBES = 1 << 26, 2
-#: Bytes of text that are signed at a time.
-SIGN_BYTES = 1 << 18
+#: Bytes of text whose lines are looked at together, and bytes that are signed together: both stay in the processor's cache.
+LINE_BYTES, SIGN_BYTES = 1 << 18, 1 << 16
+#: Bytes of text whose bands are sorted by one task at a time, about.
+RANGE_BYTES = 1 << 24
+#: Lines of a batch whose bands are sent together, at most.
+SENT = 1 << 20
 #: Lines whose bands are compared together, at least.
 COMPARED = 1024
 _random = np.random.default_rng(9)
@@ -49,107 +56,173 @@ _FACTOR = _random.integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.
 _TAG = np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def _stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    """Move the bounds of lines in place past their outer white space."""
+    for edge, off, step in ((start, 0, 1), (end, -1, -1)):
+        at = np.flatnonzero(start < end)
+        for _ in range(8):
+            at = at[IS_SPACE[data[edge[at] + off]]]
+            edge[at] += step
+            at = at[start[at] < end[at]]
+            if not len(at):
+                break
+        else:  # long white space: the next byte of content is looked up
+            content = np.flatnonzero(~IS_SPACE[data])
+            if step == 1:
+                edge[at] = np.minimum(np.append(content, len(data))[np.searchsorted(content, edge[at])], end[at])
+            else:
+                edge[at] = np.maximum(np.append(content + 1, 0)[np.searchsorted(content, edge[at]) - 1], start[at])
+
+
+def _shingles(data: np.ndarray, sums: np.ndarray, back: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles from every character on, and the first and the end of those of each line that is not empty.
+
+    ``sums`` and ``back``, the inverse powers, go with ``data``, which may be a part of some texts.
+    """
+    chars = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(chars) == len(data):
+        at, lo, hi, turn = sums, start, end, back[: len(chars)]
+    else:
+        at, lo, hi, turn = sums[np.append(chars, len(data))], np.searchsorted(chars, start), np.searchsorted(chars, end), back[chars]
+    h = np.zeros(len(at), np.uint64)
+    if len(at) > SHINGLE:
+        h[:-SHINGLE] = mix((at[SHINGLE:] - at[:-SHINGLE]) * turn[: len(at) - SHINGLE])
+    short = np.flatnonzero((hi - lo < SHINGLE) & (hi > lo))  # no other line has a shingle from there on
+    h[lo[short]] = mix((sums[end[short]] - sums[start[short]]) * back[start[short]])
+    return h, lo, np.maximum(hi - SHINGLE + 1, lo + 1)
+
+
 class Lines:
-    """The lines of some texts: text, position in it, span of bytes and 128-bit hash."""
+    """The lines of some texts: text, position in it, span of bytes and 64-bit hash."""
 
     def __init__(self, texts: pa.Array):
         self.data, offsets = raw(texts)
-        content = ~IS_SPACE[self.data]
-        words, ends, _ = spans(self.data, offsets, content)
         breaks = np.flatnonzero(self.data == 10)
-        doc = np.searchsorted(offsets, words, "right") - 1
-        line = np.searchsorted(breaks, words)
-        new = np.ones(len(words), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-        at = np.flatnonzero(new)
-        self.start, self.end = words[at], ends[np.append(at[1:], len(words)) - 1] if len(at) else ends[:0]
-        self.doc = doc[at]
-        self.pos = line[at] - np.searchsorted(breaks, offsets[self.doc])
+        first = np.searchsorted(breaks, offsets)
+        start = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
+        end = np.sort(np.concatenate((breaks, offsets[1:])))
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first) + 1)
+        _stripped(self.data, start, end)
+        at = np.flatnonzero(start < end)
+        self.start, self.end, self.doc = start[at], end[at], doc[at]
+        self.pos = at - first[self.doc] - self.doc
         self.sums = byte_sums(self.data)
         self.h = span_hashes(self.sums, self.start, self.end)
-        self.g = span_hashes(byte_sums(self.data, 1), self.start, self.end, 1)
 
-    def first(self, rank: np.ndarray | None = None) -> np.ndarray:
-        """The first of each set of equal lines, texts in the order of ``rank`` (theirs, if none is given)."""
-        of = self.doc if rank is None else rank[self.doc]
-        order = np.lexsort((np.arange(len(self.h)), of, self.g, self.h))
-        new = np.ones(len(order), bool)
-        new[1:] = (self.h[order[1:]] != self.h[order[:-1]]) | (self.g[order[1:]] != self.g[order[:-1]])
-        return np.sort(order[new])
-
-    def ids(self, at: np.ndarray) -> pa.Array:
-        """Hashes as 16 bytes."""
-        both = np.stack([self.h[at], self.g[at]], axis=1)
-        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
-
-    def bands(self, at: np.ndarray) -> np.ndarray:
-        """Keys of the bands of given lines, one row for each line."""
-        starts_char = (self.data & 0xC0) != 0x80
-        chars = np.append(np.flatnonzero(starts_char), len(self.data))
-        lo, hi = np.searchsorted(chars, self.start[at]), np.searchsorted(chars, self.end[at])
-        count = np.maximum(hi - lo - SHINGLE + 1, 1)
-        out = np.empty((len(at), BANDS), np.uint64)
-        edges = np.concatenate(([0], np.cumsum(count)))
+    def second(self) -> np.ndarray:
+        """The other half of the 128-bit hashes."""
+        return span_hashes(byte_sums(self.data, 1), self.start, self.end, 1)
+
+    def bands(self) -> np.ndarray:
+        """Keys of the bands of all lines, one row for each line."""
+        least = np.empty((BANDS * BAND_ROWS, len(self.h)), np.uint64)
+        if not len(self.h):
+            return least[:BANDS].T
+        back = powers(len(self.sums), 0, True)
         a = 0
-        while a < len(at):
-            b = max(a + 1, int(np.searchsorted(edges, edges[a] + SIGN_BYTES, "right")) - 1)
-            n, cut = count[a:b], edges[a:b] - edges[a]
-            first = np.repeat(lo[a:b] - cut, n) + np.arange(n.sum())
-            last = np.minimum(first + SHINGLE, np.repeat(hi[a:b], n))
-            h = (span_hashes(self.sums, chars[first], chars[last]) >> np.uint64(32)).astype(np.uint32)
-            for band in range(BANDS):
-                key = np.full(b - a, band, np.uint64)
-                for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
-                    least = np.minimum.reduceat((h ^ _XOR[k]) * _FACTOR[k], cut)
-                    key = mix(key ^ (least + _TAG[k]))
-                out[a:b, band] = key
+        while a < len(self.h):
+            base = int(self.start[a])
+            b = max(a + 1, int(np.searchsorted(self.end, base + SIGN_BYTES, "right")))
+            top = int(self.end[b - 1])
+            h, lo, hi = _shingles(self.data[base:top], self.sums[base : top + 1], back[base : top + 1], self.start[a:b] - base, self.end[a:b] - base)
+            h = (h >> np.uint64(32)).astype(np.uint32)
+            runs = np.stack((lo, hi), axis=1).ravel()  # every second run lies between two lines
+            turned = np.empty_like(h)
+            for k in range(BANDS * BAND_ROWS):
+                np.multiply(np.bitwise_xor(h, _XOR[k], out=turned), _FACTOR[k], out=turned)
+                least[k, a:b] = np.minimum.reduceat(turned, runs)[::2]
             a = b
-        return out
+        least += _TAG[:, None]
+        keys = np.arange(BANDS, dtype=np.uint64)[:, None]
+        for k in range(BAND_ROWS):
+            keys = mix(keys ^ least[k::BAND_ROWS])
+        return keys.T
+
+
+def _firsts(h: np.ndarray, g: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first of each set of lines with equal hashes, texts in the order of ``rank``."""
+    order = np.lexsort((np.arange(len(h)), rank, g, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    return np.sort(order[new])
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of values as bytes, each up to its end."""
+    offsets = np.concatenate(([0], ends * values.itemsize)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
 
 
+def _several(band: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+    """Of the bands that two different lines share, each line with the least line of its band."""
+    order = np.argsort(band)
+    for _ in range(2):  # most bands stand alone; of the others, equal lines are dropped
+        band, line = band[order], line[order]
+        same = band[1:] == band[:-1]
+        both = np.zeros(len(band), bool)
+        both[1:] |= same
+        both[:-1] |= same
+        band, line = band[both], line[both]
+        order = np.lexsort((line, band))
+        new = np.ones(len(order), bool)
+        new[1:] = (band[order[1:]] != band[order[:-1]]) | (line[order[1:]] != line[order[:-1]])
+        order = order[new]
+    new = np.ones(len(band), bool)
+    new[1:] = band[1:] != band[:-1]
+    leader = line[new][np.cumsum(new) - 1]
+    return pa.RecordBatch.from_arrays([pa.array(leader.view(np.int64)), pa.array(line.view(np.int64))], names=["leader", "line"])
+
+
 def repeated_bands(docs: DataFrame) -> DataFrame:
-    """``(band, line)`` of all lines, by half their hash, that share a band with another line."""
+    """``(leader, line)`` of all lines, by half their hash, that share a band with another line: leader is the least line of the band.
+
+    Bands travel by ranges of their keys, one row for each batch of texts and range; there are as
+    many ranges as keep one at about ``RANGE_BYTES`` of text, so a task sorts a bounded part.
+    """
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+    bits = max(8, (size // RANGE_BYTES).bit_length())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                lines = Lines(batch.column(0).slice(lo, hi - lo))
-                at = lines.first()
-                if len(at):
-                    keys = lines.bands(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(lines.h[at], BANDS).view(np.int64))], names=["band", "line"])
+            parts = [Lines(batch.column(0).slice(lo, hi - lo)) for lo, hi in slices(batch.column(0), LINE_BYTES)]
+            if not (parts := [(x.h, x.bands()) for x in parts if len(x.h)]):
+                continue
+            line, at = np.unique(np.concatenate([h for h, _ in parts]), return_index=True)
+            own = np.concatenate([b for _, b in parts])[at]
+            for a in range(0, len(line), SENT):
+                keys = own[a : a + SENT].ravel()
+                order = np.argsort(keys)
+                keys, of = keys[order], line[a + order // BANDS]
+                ends = np.append(np.searchsorted(keys, bounds), len(keys))
+                part = np.flatnonzero(np.diff(ends, prepend=0))
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), _binary(keys, ends[part]), _binary(of, ends[part])], names=["part", "bands", "lines"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys with two lines, in a stream sorted by (band, line); the last key waits for the next batch."""
-        none = np.empty(0, np.int64)
-        rest = (none, none)
-
-        def kept(band: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-            new = np.ones(len(band), bool)
-            new[1:] = (band[1:] != band[:-1]) | (line[1:] != line[:-1])
-            band, line = band[new], line[new]
-            same = band[1:] == band[:-1]
-            both = np.zeros(len(band), bool)
-            both[1:] |= same
-            both[:-1] |= same
-            return pa.RecordBatch.from_arrays([pa.array(band[both]), pa.array(line[both])], names=["band", "line"])
+        """A range of keys after the other; the last one waits for the next batch."""
+        now, held = None, []
+
+        def closed() -> pa.RecordBatch:
+            out = _several(*(np.concatenate([np.frombuffer(x[i], np.uint64) for x in held]) for i in range(2)))
+            held.clear()
+            return out
 
         for batch in batches:
-            band, line = (np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns))
-            if not len(band):
-                continue
-            cut = int(np.searchsorted(band == band[-1], True))
-            rest = band[cut:], line[cut:]
-            yield kept(band[:cut], line[:cut])
-        yield kept(*rest)
+            for part, keys, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and held:
+                    yield closed()
+                now = part
+                held.append((keys, line))
+        if held:
+            yield closed()
 
-    signed = map_arrow(docs.select(F.col("text").cast("string").alias("text")), sign, "band long, line long")
-    ordered = signed.repartition("band").sortWithinPartitions("band", "line")
-    return stored(map_arrow(ordered, shared, "band long, line long"), "line-bands")
+    signed = map_arrow(docs.select(F.col("text").cast("string").alias("text")), sign, "part int, bands binary, lines binary")
+    ordered = signed.repartition("part").sortWithinPartitions("part")
+    return stored(map_arrow(ordered, shared, "leader long, line long"), "line-bands")
 
 
 def _filter(lines: DataFrame) -> np.ndarray:
@@ -174,38 +247,57 @@ def _probe(h: np.ndarray, bits: int, which: int) -> np.ndarray:
     return ((h >> np.uint64(27 * which)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def texts_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(line, id, text)`` of the given line hashes."""
+def placed(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(line, id, doc_id, row, pos, text)``: the first place of each line in each batch of documents; texts of the given line hashes, and of few others."""
     bits = _filter(lines)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                lines = Lines(batch.column(0).slice(lo, hi - lo))
-                at = lines.first()
+            texts = batch.column(2)
+            # a line that is not first among its equals in a batch cannot be the first of its component
+            ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy()
+            rank = np.empty(len(ids), np.int64)
+            rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+            found = []
+            for lo, hi in slices(texts, LINE_BYTES):
+                x = Lines(texts.slice(lo, hi - lo))
+                wanted = np.ones(len(x.h), bool)
                 for which in range(PROBES):
-                    where = _probe(lines.h[at], len(bits) * 8, which)
-                    at = at[(bits[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1 == 1]
-                found = [lines.data[a:b].tobytes().decode() for a, b in zip(lines.start[at].tolist(), lines.end[at].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(lines.h[at].view(np.int64)), lines.ids(at), pa.array(found, pa.string())], names=["line", "id", "text"])
+                    where = _probe(x.h, len(bits) * 8, which)
+                    wanted &= (bits[where >> 3] >> (7 - (where & 7)).astype(np.uint8)) & 1 == 1
+                own = np.full(len(x.h), None, object)
+                for i in np.flatnonzero(wanted).tolist():
+                    own[i] = x.data[x.start[i] : x.end[i]].tobytes()
+                found.append((x.h, x.second(), x.doc + lo, x.pos, own))
+            if not found:
+                continue
+            h, g, doc, pos, own = (np.concatenate(x) for x in zip(*found))
+            at = _firsts(h, g, rank[doc])
+            doc = pa.array(doc[at])
+            both = _binary(np.stack([h[at], g[at]], axis=1).ravel(), 2 * np.arange(1, len(at) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), both, batch.column(0).take(doc), batch.column(1).take(doc), pa.array(pos[at]), pa.array(own[at], pa.string())], names=["line", "id", "doc_id", "row", "pos", "text"])
 
-    found = map_arrow(docs.select(F.col("text").cast("string").alias("text")), fetch, "line long, id binary, text string")
-    return found.join(lines, "line", "left_semi").dropDuplicates(["id"])
+    return stored(map_arrow(_rows(docs), fetch, "line long, id binary, doc_id long, row long, pos long, text string"), "line-places")
 
 
 def _shingle_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each line, numbered from 0, and the first of each line."""
     data, offsets = raw(pa.array(texts, pa.string()))
-    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-    lo = np.searchsorted(chars, offsets)
-    lo, hi = lo[:-1], lo[1:]
-    count = np.maximum(hi - lo - SHINGLE + 1, 1)
+    h, lo, hi = _shingles(data, byte_sums(data), powers(len(data) + 1, 0, True), offsets[:-1], offsets[1:])
+    count = hi - lo
     line = np.repeat(np.arange(len(texts)), count)
-    first = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + lo[line]
-    h = span_hashes(byte_sums(data), chars[first], chars[np.minimum(first + SHINGLE, hi[line])])
-    number = np.unique(h, return_inverse=True)[1]
-    keys = np.unique(line * (int(number.max()) + 1) + number)
-    line, number = np.divmod(keys, int(number.max()) + 1)
+    first = np.cumsum(count) - count
+    h = h[np.arange(len(line)) + np.repeat(lo - first, count)]
+    h[first[np.diff(offsets) == 0]] = 0  # the shingle of an empty line
+    order = np.argsort(h)
+    h = h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    number = np.cumsum(new) - 1
+    all_of = int(number[-1]) + 1
+    keys = np.sort(line[order] * all_of + number)  # np.unique would hash them, which takes many times as long
+    new[1:] = keys[1:] != keys[:-1]
+    line, number = np.divmod(keys[new], all_of)
     return number, np.searchsorted(line, np.arange(len(texts) + 1))
 
 
@@ -255,17 +347,17 @@ def grouped(texts: list[str], groups: list[int] | None = None) -> list[int]:
 
 
 def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)`` edges that join the lines of each band that are alike, as stars."""
+    """``(a, b)`` edges that join the lines of all bands of a leader that are alike, as stars."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, str] = {}
-        band = None
+        leader = None
         ids: list[bytes] = []
         lines: list[str] = []
         sizes: list[int] = []
 
         def close() -> None:
-            """The band that has ended joins those that wait to be compared."""
+            """The group that has ended joins those that wait to be compared."""
             if len(held) > 1:
                 ids.extend(held)
                 lines.extend(held.values())
@@ -281,41 +373,28 @@ def links(bands: DataFrame, texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for key, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != band:
+                if key != leader:
                     close()
-                    band = key
+                    leader = key
                     if len(lines) >= COMPARED:
                         yield out()
                 held[i] = text
         close()
         yield out()
 
-    # near lines share most bands: of the bands with the same lines (equal sums of hashes and counts) one is enough
-    sets = bands.groupBy("band").agg(F.bit_xor(F.xxhash64("line")).alias("x"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-    once = sets.groupBy("x", "s", "n").agg(F.min("band").alias("band")).select("band")
-    rows = bands.join(once, "band", "left_semi").join(texts, "line").select("band", "id", "text")
-    return map_arrow(rows.repartition("band").sortWithinPartitions("band", "id"), verify, "a binary, b binary")
+    # near lines share most bands, and these have the same leader: one group instead of up to ten, with no pair of a band left out
+    rows = bands.distinct().join(texts, "line").select("leader", "id", "text")
+    return map_arrow(rows.repartition("leader").sortWithinPartitions("leader", "id"), verify, "a binary, b binary")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_lines, n_removed, kept)``: lines that are not blank, and the text without those removed."""
     bands = repeated_bands(docs)
-    found = stored(texts_of(docs, bands.select("line").distinct()), "line-texts")
+    lines = stored(bands.select("line").distinct(), "line-hashes")
+    places = placed(docs, lines)
+    found = stored(places.where("text is not null").select("line", "id", "text").join(lines, "line", "left_semi").dropDuplicates(["id"]), "line-texts")
     member = components(links(bands, found))
 
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in slices(batch.column(2)):
-                lines = Lines(batch.column(2).slice(lo, hi - lo))
-                ids = pc.fill_null(batch.column(0).slice(lo, hi - lo), -(1 << 63)).to_numpy()
-                rank = np.empty(hi - lo, np.int64)
-                rank[np.argsort(ids, kind="stable")] = np.arange(hi - lo)
-                at = lines.first(rank)
-                doc = pa.array(lines.doc[at] + lo)
-                yield pa.RecordBatch.from_arrays([lines.ids(at), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(lines.pos[at])], names=["id", "doc_id", "row", "pos"])
-
-    # the first line of each component: a line that is not first among its equals in a slice cannot be
-    places = map_arrow(_rows(docs), located, "id binary, doc_id long, row long, pos long")
     lowest = F.coalesce("doc_id", F.lit(-(1 << 63)))
     named = places.join(member.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("component", "id").alias("c"), F.struct(lowest.alias("d"), "row", "pos").alias("at"))
     winners = named.groupBy("c").agg(F.min("at").alias("at"))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -212,6 +213,46 @@ def test_line_groups_are_components():
     assert of == [min(reach[i]) for i in range(len(texts))]
 
 
+def test_lines_are_split_stripped_and_hashed_as_in_plain_text():
+    blank = " \t\x0b\x0c\r"
+    texts = [None, "", " \n ", "a", "b\n\na  ", "x", "\n", "y" + " " * 50 + "\nz", " " * 40 + "q w\n" + blank * 9, "é" * 7 + "\n" + "ü" * 20, "日本語の行です。長い行。\n 短い ", "z" * 9, blank * 5]
+    plain = [(i, n, x.strip(blank)) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if x.strip(blank)]
+    got = lines.Lines(pa.array(texts, pa.string()))
+    assert [(d, p, bytes(got.data[a:b]).decode()) for d, p, a, b in zip(got.doc.tolist(), got.pos.tolist(), got.start, got.end)] == plain
+    alone = [lines.Lines(pa.array([x])) for _, _, x in plain]
+    assert got.h.tolist() == [x.h[0] for x in alone] and got.second().tolist() == [x.second()[0] for x in alone]
+    assert got.bands().tolist() == [x.bands()[0].tolist() for x in alone]
+
+
+def test_lines_that_share_bands_meet_once(spark, monkeypatch):
+    """Near copies share up to ten bands; each meets the others in few groups, and no pair of a band is left out."""
+    monkeypatch.setattr(lines, "SENT", 7)
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(60)] + [" ".join(f"v{rng.randrange(10**6)}" for _ in range(9)) for _ in range(40)]
+    docs = documents(spark, [(i, "\n".join(texts[i : i + 3])) for i in range(len(texts))]).repartition(4)
+    pairs = {(r.leader, r.line) for r in lines.repeated_bands(docs).collect()}
+    one = lines.Lines(pa.array(["\n".join(texts)]))
+    name = one.h.view(np.int64).tolist()
+    bands = collections.defaultdict(set)
+    for line, keys in zip(name, one.bands().tolist()):
+        for key in keys:
+            bands[key].add(line)
+    groups = collections.defaultdict(set)
+    for leader, line in pairs:
+        groups[leader].add(line)
+    shared = {frozenset(b) for b in bands.values() if len(b) > 1}
+    assert shared and all(any(b <= g for g in groups.values()) for b in shared)
+    assert {line for _, line in pairs} == set().union(*shared)
+    assert len(pairs) < 0.6 * sum(map(len, shared))  # rows to compare; before, one for each line of each such set
+
+
+def test_line_dedup_across_partitions(spark):
+    rows = [r for r in line_rows(9) if r[0] != 7] + [(7, "é\nsome line that is long enough\n\n é ")]
+    got = lines.dedup(documents(spark, rows).repartition(5))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_lines(rows)
+
+
 def edited_texts(seed=7):
     """Texts with copies that have one to eight words replaced, so that Jaccard lies on both sides of 0.8."""
     rng = random.Random(seed)
