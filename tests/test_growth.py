@@ -1,9 +1,13 @@
 """Steps whose work or memory grew faster than the input, or was done in one task."""
 
+import shutil
 from datetime import datetime, timedelta
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from pathmere.functions.paths import is_application
+from pathmere.operators import search as R
 from pathmere.operators import usage
 from pathmere.plans import maintenance as M
 from pathmere.sources import gram_index
@@ -90,3 +94,68 @@ def test_batch_search_looks_up_many_letters(spark):
     assert got == {(k, n) for k, (n,) in enumerate(names)} | {(100, n) for n, in names}
     text, letters = F.lit("bolt a"), F.array(F.lit("a"), F.lit("b"), F.lit("z"))
     assert spark.range(1).select(R.letter_mask(text, letters)).first()[0] == 0b011
+
+
+def _lines_folder(spark, sf_dir, folder):
+    texts = [
+        (0, "en", "Élève a/b\\c\n\n  \nplain line.txt\nplain line.txt\n / \\ \n50% off\t"), (1, "fr", None), (2, "de", ""), (3, None, "gros"),
+        (4, "de", "über der Straße\nfür größe\nGROSS eleve\r\nder Uber"), (4, "de", "über der Straße\nfür größe"), (5, "zh", "漢字 fur en"), (None, "en", "fur"),
+    ]
+    for table in Path(sf_dir).glob("*.parquet"):
+        if table.name != "documents.parquet":
+            shutil.copy(table, folder / table.name)
+    docs = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    docs.withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long")}).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_batch_search_of_lines_stores_no_copies_of_them(spark, sf_dir, tmp_path):
+    """Before, each line was staged, shuffled and stored in seven columns, then shuffled again for each of its join keys."""
+    from pathmere.plans import searching
+    from pathmere.plans import views as V
+
+    sf = _lines_folder(spark, sf_dir, tmp_path)
+    plan = (found := searching.search_batch_aliases(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_key_char" in plan and "SortMergeJoin [_key_char" not in plan
+    got = sorted((r.query_id, r.rank, r.path_key) for r in found.collect())
+    assert not any(key[1:] == (sf, "lines") for key in V._STORED)
+    assert sorted(map(str, V.line_rows(spark, sf).collect())) == sorted(map(str, V.line_catalog(spark, sf).collect()))
+    with_store = [R.search(V.line_catalog(spark, sf), q, V.usage(spark, sf), V.pinned(spark, sf), V.as_of()).select(F.lit(k), "rank", "path_key") for k, q in V.ALIAS_REQUESTS.items()]
+    assert got == sorted(tuple(r) for one in with_store for r in one.collect()) and {k for k, _, _ in got} == set(V.ALIAS_REQUESTS)
+
+
+def test_batch_search_ranks_what_a_narrow_pass_leaves(spark, monkeypatch):
+    """Usage and pins decide among all ties, rows and path keys that come twice stay; before, all pairs were sorted as a whole."""
+    from pathmere.operators import catalog as K
+
+    names = [(f"/d/bolt {k:03}.txt", k) for k in range(200)] + [("/d/bolt 005.txt", 5), ("/d/BOLT 007.txt", 7), ("/d/bolt", 300), ("/e/long bolt.txt", 301), (None, 302)]
+    rows = spark.createDataFrame(names, "p string, n long").repartition(4)
+    records = K.catalog_from(rows, F.col("p"), F.lit(False), F.col("n"), F.lit("2024-01-01"), F.col("n")).withColumn("structural", F.lit(False))
+    catalog = K.with_alias_forms(K.with_path_columns(records)).select(*K.CATALOG_COLUMNS)
+    asked = {
+        1: R.SearchRequest(terms=["bolt"], limit=4), 2: R.SearchRequest(terms=["bolt 00"], limit=7), 3: R.SearchRequest(kind="files", limit=3),
+        4: R.SearchRequest(terms=["blt"], preferred_root="/e", limit=2), 5: R.SearchRequest(phrases=["bolt 005"], limit=9), 6: R.SearchRequest(terms=["zz"]),
+        7: R.SearchRequest(path_terms=["e"], limit=2),
+    }
+    at = datetime(2024, 1, 1)
+    usage_rows = spark.createDataFrame([("/d/bolt 150.txt", 9, at), ("/d/bolt 199.txt", 1, at)], "path_key string, open_count long, last_used_at timestamp")
+    pinned = spark.createDataFrame([("/d/bolt 120.txt",)], "path string")
+    seen = []
+    plain = R.matching_pairs
+    monkeypatch.setattr(R, "matching_pairs", lambda c, *a: seen.append(c.count()) or plain(c, *a))
+    found = R.search_many(catalog, R.request_table(spark, asked), usage_rows, pinned, F.lit(at)).select("query_id", "rank", "path_key", "full_path", "tier", "open_count").collect()
+    assert seen[0] == seen[2] == 205 and seen[1] == 204  # ties of the last place stay
+    want = [R.search(catalog, q, usage_rows, pinned, F.lit(at)).select(F.lit(k), "rank", "path_key", "full_path", "tier", "open_count") for k, q in asked.items()]
+    assert sorted(map(tuple, found)) == sorted(tuple(r) for one in want for r in one.collect())
+    assert [r.path_key for r in sorted(found, key=lambda r: r.rank) if r.query_id == 1] == ["/d/bolt", "/d/bolt 150.txt", "/d/bolt 199.txt", "/d/bolt 000.txt"]
+    seen.clear()
+    only = {1: R.SearchRequest(terms=["bolt"], limit=1), 2: R.SearchRequest(terms=["long"], limit=5), 3: R.SearchRequest(phrases=["bolt 005"], limit=1)}
+    assert len(R.search_many(catalog, R.request_table(spark, only)).collect()) == 3 and seen == [205, 4]
+
+
+def test_applications_by_the_end_of_their_path(spark):
+    paths = ["/a/x.LNK", "/a/x.lnk\n", "/a/x.exe", "c:\\Desktop\\x.exe", "/program files/a/X.EXE", "/programs/x.msc", "/programs/x.appref-ms", "/programs/xexe", "/programs/.exe/x", "/a.lnk/b", ".lnk", None]
+    rows = spark.createDataFrame([(p, d) for p in paths for d in (False, True)], "p string, d boolean")
+    got = [r[0] for r in rows.select(is_application(F.col("p"), F.col("d"))).collect()]
+    assert got[1::2] == [False] * len(paths)
+    assert got[::2] == [True, False, False, True, True, True, True, False, False, False, True, None]
